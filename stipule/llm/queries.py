@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from stipule.llm.langid import op6_langid
 from stipule.llm.media import op3_audio
 from stipule.llm.pii import op9_pii
+from stipule.llm.tokencount import op1_tokencount
 from stipule.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokencount": op1_tokencount,
     "op3_audio": op3_audio,
     "op6_langid": op6_langid,
     "op9_pii": op9_pii,
