@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stipule.llm.langid import op6_langid
 from stipule.llm.media import op3_audio
+from stipule.llm.mixing import op4_mixing
+from stipule.llm.packing import op5_packing
 from stipule.llm.pii import op9_pii
 from stipule.llm.tokencount import op1_tokencount
 from stipule.llm.toxicity import op10_toxicity
@@ -15,6 +17,8 @@ from stipule.llm.toxicity import op10_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokencount": op1_tokencount,
     "op3_audio": op3_audio,
+    "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
