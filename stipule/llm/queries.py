@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stipule.llm.langid import op6_langid
 from stipule.llm.media import op3_audio
+from stipule.llm.minhash import op2_minhash
 from stipule.llm.mixing import op4_mixing
 from stipule.llm.packing import op5_packing
 from stipule.llm.pii import op9_pii
@@ -16,6 +17,7 @@ from stipule.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokencount": op1_tokencount,
+    "op2_minhash": op2_minhash,
     "op3_audio": op3_audio,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
