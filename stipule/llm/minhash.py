@@ -259,13 +259,13 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The row of least id stays, once where it is repeated; rows of null id stay.
     """
     verdict = near_duplicates(df, id_col, text_col, width=width, percent=percent)
-    gone = written(verdict.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    kept = df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    twice = written(df.groupBy(F.col(id_col).cast("long").alias("_twice")).count().where("count > 1 and _twice is not null").select("_twice"), "twice")
-    if twice.isEmpty():
-        return kept
-    on = F.col(id_col).cast("long") == F.col("_twice")
-    return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates([id_col]))
+    gone = written(verdict.where(~F.col("kept")).select(F.col(id_col).alias("_id")).distinct(), "gone")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    kept = rows.join(gone, "_id", "left_anti")
+    twice = written(rows.groupBy("_id").count().where("count > 1 and _id is not null").select("_id"), "twice")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "_id", "left_anti").unionByName(kept.join(twice, "_id", "left_semi").dropDuplicates(["_id"]).select("_id", "_row"))
+    return kept.select("_row.*")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

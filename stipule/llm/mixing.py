@@ -18,7 +18,7 @@ Defined results: null texts have no tokens; null domains, languages or sources
 form leaves named ``""``; rows without tokens belong to the epochs taken whole
 and to the prefix where they fall; rows of equal ids in one leaf, or of null ids,
 are taken or left together; an empty table, or one without tokens, gives no rows;
-extra columns stay in :func:`mixed` and internal names cannot clash with them.
+extra columns stay within :func:`mixed`'s ``row``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ WEIGHTS: dict[tuple[str, ...], float] = {
     **{(f"d{d}", lang): w for d in range(4) for lang, w in (("en", 4), ("de", 2), ("fr", 2), ("es", 1))},
 }
 #: The budget as a share of all tokens, the most epochs, the seed, and the most leaves.
-SHARE, MAX_EPOCHS, SEED, MAX_LEAVES = 0.5, 2, 23, 100_000
+SHARE, MAX_EPOCHS, SEED, MAX_LEAVES = 1.0, 2, 23, 100_000
 #: Bits of a hash digit.
 DIGIT = 12
 LEVELS = ("_m_domain", "_m_lang", "_m_source")
@@ -107,8 +107,9 @@ def budgets(supply: Mapping[tuple[str, ...], int], total: int, weights: Mapping[
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, levels: Sequence[Column]) -> DataFrame:
-    named = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(LEVELS, levels, strict=True)}
-    return df.withColumns(named | {"_m_n": words(text_col), "_m_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))})
+    named = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(LEVELS, levels, strict=True)]
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(row, *named, words(text_col).alias("_m_n"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_m_id"))
 
 
 def _hash(epoch: Column) -> Column:
@@ -165,10 +166,10 @@ def mixed(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: Sequence[Column] | None = None, *,
     weights: Mapping[tuple[str, ...], float] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS,
 ) -> DataFrame:
-    """``df``'s rows once for each epoch that takes them, with ``_m_*`` columns.
+    """``df``'s rows once for each epoch that takes them.
 
-    ``_m_domain``, ``_m_lang`` and ``_m_source`` are the leaf, ``_m_n`` the
-    tokens and ``_m_epoch`` the epoch, from 0.
+    Columns: ``row`` (the whole row), the leaf's ``domain``, ``lang`` and
+    ``source``, ``n_tokens``, and ``epoch``, from 0.
     """
     levels = levels or (domain_of(), F.col("lang"), F.col("source"))
     keyed = _keyed(df, id_col, text_col, levels)
@@ -180,8 +181,9 @@ def mixed(
     leaves = budgets(held, int(Fraction(str(share)) * sum(held.values())), weights, max_epochs)
     cuts = thresholds(narrow, leaves)
     dropped(narrow)
+    names = [F.col(n).alias(n.removeprefix("_m_")) for n in LEVELS]
     if cuts is None:
-        return keyed.withColumn("_m_epoch", F.lit(0)).limit(0)
+        return keyed.select("row", *names, F.col("_m_n").alias("n_tokens"), F.lit(0).alias("epoch")).limit(0)
     h = _hash(F.col("_m_full").cast("int"))
     d0, d1 = _digit(h, 0), _digit(h, 1)
     inside = (F.col("_m_rest") > 0) & (
@@ -190,10 +192,10 @@ def mixed(
     )
     copies = F.col("_m_full").cast("int") + F.coalesce(inside, F.lit(False)).cast("int")
     chosen = keyed.join(F.broadcast(cuts), list(LEVELS)).withColumn("_m_copies", copies).where(F.col("_m_copies") > 0)
-    return chosen.withColumn("_m_epoch", F.explode(F.sequence(F.lit(0), F.col("_m_copies") - 1)))
+    return chosen.select("row", *names, F.col("_m_n").alias("n_tokens"), F.explode(F.sequence(F.lit(0), F.col("_m_copies") - 1)).alias("epoch"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that each leaf of the tree gives to the mixture, by epoch."""
     out = mixed(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_m_epoch").alias("epoch"), F.col("_m_domain").alias("domain"), F.col("_m_lang").alias("lang"), F.col("_m_source").alias("source"), F.col("_m_n").alias("n_tokens"))
+    return out.select("row.doc_id", "epoch", "domain", "lang", "source", "n_tokens")
