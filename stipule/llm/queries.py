@@ -10,6 +10,7 @@ from stipule.llm.langid import op6_langid
 from stipule.llm.media import op3_audio
 from stipule.llm.minhash import op2_minhash
 from stipule.llm.mixing import op4_mixing
+from stipule.llm.neighbours import op7_neighbours
 from stipule.llm.packing import op5_packing
 from stipule.llm.pii import op9_pii
 from stipule.llm.tokencount import op1_tokencount
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
+    "op7_neighbours": op7_neighbours,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
