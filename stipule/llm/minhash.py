@@ -38,7 +38,7 @@ from stipule.llm.sketch import MIX, REGISTERS, Shingler, estimated, mixed, regis
 ROWS = 6
 WIDTH, PERCENT = 5, 80
 #: Members of a block, and the bytes of sets that it aims at.
-BLOCK, BLOCK_BYTES = 256, 4 << 20
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 
 def _binary(arrays: list[bytes]) -> pa.Array:
@@ -193,9 +193,8 @@ def within_buckets(members: DataFrame, classes: DataFrame, sets: DataFrame, perc
     many = held.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") * 8 / BLOCK_BYTES)).cast("int")
     dealt = held.join(many.select("k", blocks.alias("nb")), "k").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("k", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "id", "c", "n")
-    rows = dealt.join(classes.select("id", "regs"), "id").join(sets, "id")
+    whole = dealt.join(classes.select("id", "regs"), "id").join(sets, "id").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = whole.select("k", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "c", "n", "regs", "held")
     names = ["k", "i", "j", "blk", "c", "n", "regs", "held"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
