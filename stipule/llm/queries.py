@@ -13,6 +13,7 @@ from stipule.llm.mixing import op4_mixing
 from stipule.llm.neighbours import op7_neighbours
 from stipule.llm.packing import op5_packing
 from stipule.llm.pii import op9_pii
+from stipule.llm.repeats import op8_repeats
 from stipule.llm.tokencount import op1_tokencount
 from stipule.llm.toxicity import op10_toxicity
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_neighbours": op7_neighbours,
+    "op8_repeats": op8_repeats,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
