@@ -15,9 +15,7 @@ from stipule.plans.patch import Patch
 
 def apply_to(record: Column, patch: Patch, contract: Contract | None = None) -> Column:
     """A VARIANT record with a patch laid over it; nothing is checked."""
-    delta = _delta(record, patch, contract)
-    kept = F.map_filter(as_map(record), lambda k, _: ~F.map_contains_key(delta, k))
-    return as_record(F.map_concat(kept, delta))
+    return as_record(_overlaid(as_map(record), _delta(record, patch, contract)))
 
 
 def _delta(record: Column, patch: Patch, contract: Contract | None) -> Column:
@@ -63,11 +61,14 @@ def merge_drafts(*drafts: Column) -> Column:
     out = F.create_map().cast("map<string,variant>")
     for d in drafts:
         new = F.coalesce(as_map(d), F.create_map().cast("map<string,variant>"))
-        old = out
-        out = F.map_concat(F.map_filter(old, lambda k, _, n=new: ~F.map_contains_key(n, k)), new)
+        out = _overlaid(out, new)
     return as_record(out)
 
 
+def _overlaid(old: Column, new: Column) -> Column:
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
 def finalize(df: DataFrame, contract: Contract, draft: str = "draft", *, options: Options = Options()) -> DataFrame:
     """Full validation of accumulated drafts, which keep members as they were given."""
     return validate(df, contract, draft, options=options)

@@ -158,9 +158,11 @@ def validate_aspect_patch(df: DataFrame, contract: Contract, aspect: Contract, c
         raise ValueError(f"{aspect.name} is no aspect of {contract.name}")
     own = source(df, aspect, patch)
     first = _guarded(own, record_checks(own, aspect, (), options))
-    bad = any_fails(first)
     kept = F.map_filter(as_map(F.col(f"`{patch}`")), lambda _, v: ~F.is_variant_null(v))
-    checks, record = patch_checks(source(df, contract, current), VariantValue(as_record(kept)), contract, (), options)
-    both = [*first, *(c.when(~bad) for c in checks)]
-    valid = ~any_fails(both)
-    return df.withColumns({names.value: F.when(valid, record), names.is_valid: valid, names.violations: collected(both)})
+    # Both results are columns of their own, so the second stage does not repeat the first.
+    staged = df.withColumns({"_wrong": collected(first), "_patch": as_record(kept)})
+    good = F.size("_wrong") == 0
+    checks, record = patch_checks(source(df, contract, current), VariantValue(F.col("_patch")), contract, (), options)
+    valid = good & ~any_fails(checks)
+    found = F.when(good, collected(checks)).otherwise(F.col("_wrong"))
+    return staged.withColumns({names.value: F.when(valid, record), names.is_valid: valid, names.violations: found}).drop("_wrong", "_patch")
