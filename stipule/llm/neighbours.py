@@ -203,7 +203,9 @@ class Cell:
                 names = np.concatenate([whom[rows], np.broadcast_to(self.ids[part], scores.shape)], axis=1)
                 top = np.lexsort((names, -joint), axis=1)[:, :k]
                 best[rows], whom[rows] = np.take_along_axis(joint, top, 1), np.take_along_axis(names, top, 1)
-        return [(w[np.isfinite(b)], b[np.isfinite(b)]) for w, b in zip(whom, best, strict=True)]
+        # What is worse than the k-th best known cannot be in the result.
+        keep = np.isfinite(best) & (best >= worst[:, None])
+        return [(w[m], b[m]) for w, b, m in zip(whom, best, keep, strict=True)]
 
 
 def searched(rows: DataFrame, space: Space, k: int, factor: float) -> DataFrame:
