@@ -20,7 +20,16 @@ from stipule.plans.contract import Contract, Field
 INTEGER_TEXT = r"[+-]?[0-9]+"
 NUMBER_TEXT = r"[\x00-\x20]*[+-]?(?:NaN|Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[fFdD]?)[\x00-\x20]*"
 DECIMAL_TEXT = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-YES, NO = F.lit(True), F.lit(False)
+
+
+def yes() -> Column:
+    """Always."""
+    return F.lit(True)
+
+
+def no() -> Column:
+    """Never."""
+    return F.lit(False)
 
 
 class Decoded(NamedTuple):
@@ -99,7 +108,7 @@ class VariantValue(Value):
     def __init__(self, v: Column) -> None:
         self.v = v
         self.absent = v.isNull()
-        self.null = F.coalesce(F.is_variant_null(v), NO)
+        self.null = F.coalesce(F.is_variant_null(v), no())
 
     @classmethod
     def key(cls, v: Column, name: str) -> VariantValue:
@@ -159,19 +168,19 @@ class TypedValue(Value):
 
     def __init__(self, c: Column | None, kind: T.DataType | None, explicit: bool = False) -> None:
         self.c, self.type, self.explicit = c, kind, explicit
-        gone = YES if c is None else c.isNull()
-        self.absent = NO if explicit and c is not None else gone
-        self.null = gone if explicit and c is not None else NO
+        gone = yes() if c is None else c.isNull()
+        self.absent = no() if explicit and c is not None else gone
+        self.null = gone if explicit and c is not None else no()
 
     def kind_text(self) -> Column:
         name = F.lit(self.type.typeName() if self.type is not None else "null")
         return F.when(self.null, F.lit("null")).otherwise(name)
 
     def is_object(self) -> Column:
-        return self.c.isNotNull() if isinstance(self.type, (T.StructType, T.MapType)) else NO
+        return self.c.isNotNull() if isinstance(self.type, (T.StructType, T.MapType)) else no()
 
     def is_array(self) -> Column:
-        return self.c.isNotNull() if isinstance(self.type, T.ArrayType) else NO
+        return self.c.isNotNull() if isinstance(self.type, T.ArrayType) else no()
 
     def member(self, name: str) -> Value:
         if isinstance(self.type, T.StructType):
@@ -202,9 +211,9 @@ class TypedValue(Value):
     def scalar(self, kind: D.Scalar, jvm: bool) -> Decoded:
         none = F.lit(None).cast(kind.type)
         if self.c is None:
-            return Decoded(NO, none)
+            return Decoded(no(), none)
         value = self._converted(kind, jvm)
-        return Decoded(NO, none) if value is None else Decoded(value.isNotNull(), value, value is self.c)
+        return Decoded(no(), none) if value is None else Decoded(value.isNotNull(), value, value is self.c)
 
     def _converted(self, kind: D.Scalar, jvm: bool) -> Column | None:
         c, held = self.c, self.type
@@ -247,7 +256,7 @@ def decode(value: Value, kind: D.DeclaredType, jvm: bool = False) -> Decoded:
         for i, (name, inner) in enumerate(kind.fields, start=1):
             grouped = F.regexp_extract(text, anchored, i if _groups(kind.pattern) else 0)
             parts.append((name, decode(TypedValue(grouped, T.StringType()), inner, jvm)))
-        ok = F.coalesce(text.rlike(anchored), NO)
+        ok = F.coalesce(text.rlike(anchored), no())
         for _, part in parts:
             ok = ok & part.ok
         return Decoded(ok, F.when(ok, F.struct(*[p.value.alias(n) for n, p in parts])))
@@ -258,9 +267,9 @@ def decode(value: Value, kind: D.DeclaredType, jvm: bool = False) -> Decoded:
     if isinstance(kind, D.Either):
         return _decode_either(value, kind, jvm)
     if isinstance(kind, D.Nested):
-        ok = F.coalesce(value.is_object(), NO)
+        ok = F.coalesce(value.is_object(), no())
         return Decoded(ok, F.when(ok, construct(value, kind.contract, jvm)))
-    return Decoded(NO, null)
+    return Decoded(no(), null)
 
 
 def _groups(pattern: str) -> int:
@@ -273,9 +282,9 @@ def _decode_list(value: Value, kind: D.ListOf, jvm: bool) -> Decoded:
     nested = isinstance(kind.item.core(), D.Nested)
     inner = lambda x: decode(value.element(x), kind.item, jvm)
     items = F.transform(value.elements(), lambda x: inner(x).value)
-    ok = F.coalesce(value.is_array(), NO)
+    ok = F.coalesce(value.is_array(), no())
     if not (jvm and nested):
-        ok = ok & F.coalesce(F.forall(value.elements(), lambda x: F.coalesce(inner(x).ok, NO)), NO)
+        ok = ok & F.coalesce(F.forall(value.elements(), lambda x: F.coalesce(inner(x).ok, no())), no())
     items = F.array_distinct(items) if isinstance(kind, D.SetOf) else items
     return Decoded(ok, F.when(ok, items.cast(kind.spark())))
 
@@ -288,8 +297,8 @@ def _decode_map(value: Value, kind: D.MapOf, jvm: bool) -> Decoded:
         held = value.c
         inner = lambda x: decode(TypedValue(x, value.type.valueType), kind.value, jvm)
     else:
-        return Decoded(NO, F.lit(None).cast(kind.spark()))
-    ok = F.coalesce(value.is_object(), NO) & F.coalesce(F.forall(F.map_values(held), lambda x: F.coalesce(inner(x).ok, NO)), NO)
+        return Decoded(no(), F.lit(None).cast(kind.spark()))
+    ok = F.coalesce(value.is_object(), no()) & F.coalesce(F.forall(F.map_values(held), lambda x: F.coalesce(inner(x).ok, no())), no())
     return Decoded(ok, F.when(ok, F.transform_values(held, lambda _, x: inner(x).value).cast(kind.spark())))
 
 
@@ -297,7 +306,7 @@ def _decode_either(value: Value, kind: D.Either, jvm: bool) -> Decoded:
     def branch(of: Value, inner: D.DeclaredType) -> Decoded:
         got = decode(of, inner, jvm)
         strict = decodes_whole(of, inner, jvm)
-        return Decoded(F.coalesce(got.ok & strict, NO), got.value)
+        return Decoded(F.coalesce(got.ok & strict, no()), got.value)
 
     if kind.key is None:
         left, right = branch(value.member("left"), kind.left), branch(value.member("right"), kind.right)
@@ -305,9 +314,9 @@ def _decode_either(value: Value, kind: D.Either, jvm: bool) -> Decoded:
     else:
         tag = value.member(kind.key).scalar(D.String, jvm).value
         left, right = branch(value, kind.left), branch(value, kind.right)
-        is_left = F.coalesce(tag == kind.left_tag, NO) & left.ok
-        is_right = F.coalesce((tag == kind.right_tag) & (tag != kind.left_tag), NO) & right.ok
-    ok = F.coalesce(value.is_object(), NO) & (is_left | is_right)
+        is_left = F.coalesce(tag == kind.left_tag, no()) & left.ok
+        is_right = F.coalesce((tag == kind.right_tag) & (tag != kind.left_tag), no()) & right.ok
+    ok = F.coalesce(value.is_object(), no()) & (is_left | is_right)
     sides = F.struct(F.when(is_left, left.value).alias("left"), F.when(is_right, right.value).alias("right"))
     return Decoded(ok, F.when(ok, sides))
 
@@ -316,12 +325,12 @@ def decodes_whole(value: Value, kind: D.DeclaredType, jvm: bool) -> Column:
     """Whether a record decodes with all its fields; other types only need to decode."""
     kind = kind.core()
     if not isinstance(kind, D.Nested):
-        return YES
-    ok = F.coalesce(value.is_object(), NO)
+        return yes()
+    ok = F.coalesce(value.is_object(), no())
     for f in kind.contract.fields:
         m = value.member(f.name)
         got = decode(m, f.type, jvm)
-        ok = ok & F.when(m.absent, F.lit(not f.required)).when(m.null, F.lit(f.optional)).otherwise(F.coalesce(got.ok, NO))
+        ok = ok & F.when(m.absent, F.lit(not f.required)).when(m.null, F.lit(f.optional)).otherwise(F.coalesce(got.ok, no()))
     return ok
 
 

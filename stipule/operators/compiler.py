@@ -8,14 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stipule.functions.checks import constraints
-from stipule.functions.values import Value, VariantValue, construct, decode, filled, struct_of
+from stipule.functions.values import Value, VariantValue, construct, decode, filled, no, struct_of
 from stipule.operators.deltas import deep_merge
 from stipule.operators.violations import Check, Path, any_fails, collected
 from stipule.plans import types as D
 from stipule.plans.contract import Contract, Field
 
-NO = F.lit(False)
-
 
 @dataclass(frozen=True)
 class Options:
@@ -48,7 +46,7 @@ def unknown_keys(value: Value, contract: Contract, path: Path, patch: bool = Fal
             F.array(*path, k).alias("path"), F.lit("UNKNOWN_FIELD").alias("code"), F.concat(F.lit("Unknown field '"), k, F.lit(tail)).alias("message")
         )
 
-    return [Check(F.coalesce(F.size(extra) > 0, NO), F.transform(extra, report))]
+    return [Check(F.coalesce(F.size(extra) > 0, no()), F.transform(extra, report))]
 
 
 def mismatch(value: Value, path: Path, message: str, fails: Column) -> Check:
@@ -64,7 +62,7 @@ def content_checks(value: Value, f: Field, path: Path, gate: Column, opt: Option
     for validator in f.validators:
         said = F.when(gate, validator(decoded))
         report = F.transform(said, lambda m: F.struct(F.array(*path).alias("path"), F.lit("CONSTRAINT(validateWith)").alias("code"), m.alias("message")))
-        out.append(Check(F.coalesce(F.size(said) > 0, NO), report))
+        out.append(Check(F.coalesce(F.size(said) > 0, no()), report))
     inner = nested_checks(value, f, path, opt) if nested is None else nested
     return out + [c.when(gate) for c in inner]
 
@@ -79,11 +77,11 @@ def nested_checks(value: Value, f: Field, path: Path, opt: Options) -> list[Chec
 
         def within(x: Column, i: Column) -> list[Check]:
             element = value.element(x)
-            return [c.when(F.coalesce(element.is_object(), NO)) for c in record_checks(element, contract, (*path, i.cast("string")), opt)]
+            return [c.when(F.coalesce(element.is_object(), no())) for c in record_checks(element, contract, (*path, i.cast("string")), opt)]
 
         items = F.coalesce(value.elements(), F.array())
         bad = F.exists(F.transform(items, lambda x, i: any_fails(within(x, i))), lambda b: b)
-        return [Check(F.coalesce(bad, NO), F.flatten(F.transform(items, lambda x, i: collected(within(x, i)))))]
+        return [Check(F.coalesce(bad, no()), F.flatten(F.transform(items, lambda x, i: collected(within(x, i)))))]
     return []
 
 
@@ -110,7 +108,7 @@ def field_checks(m: Value, f: Field, path: Path, opt: Options, partial: bool = F
     got = decode(m, f.type, opt.jvm)
     if got.total and not m.explicit:
         return out + content_checks(m, f, path, ~m.absent, opt)
-    ok = F.coalesce(got.ok, NO)
+    ok = F.coalesce(got.ok, no())
     there = ~m.absent & (~m.null if f.optional else F.lit(True))
     out.append(mismatch(m, path, f"'{f.name}' has an incorrect type", there & ~ok))
     return out + content_checks(m, f, path, there & ~m.null & ok, opt)
@@ -137,7 +135,7 @@ def patch_checks(current: Value, patch: Value, contract: Contract, path: Path, o
             checks, value = _patched_field(c, p, f, at, given, opt)
             out += checks
             merged[f.name] = F.when(given, value).otherwise(filled(c, f, opt.jvm))
-        stored = F.coalesce(decode(c, f.type, opt.jvm).ok, NO) | (c.null if f.optional else NO)
+        stored = F.coalesce(decode(c, f.type, opt.jvm).ok, no()) | (c.null if f.optional else no())
         out.append(mismatch(c, at, f"'{f.name}' in current record has an unexpected type", p.absent & ~c.absent & ~stored))
         if f.required:
             out.append(Check.one(p.absent & c.absent, at, "MISSING", f"'{f.name}' is required"))
@@ -148,7 +146,7 @@ def patch_checks(current: Value, patch: Value, contract: Contract, path: Path, o
 def _patched_field(c: Value, p: Value, f: Field, at: Path, given: Column, opt: Options) -> tuple[list[Check], Column]:
     kind = f.type.core()
     if isinstance(kind, D.Nested):
-        both = F.coalesce(c.is_object(), NO) & F.coalesce(p.is_object(), NO)
+        both = F.coalesce(c.is_object(), no()) & F.coalesce(p.is_object(), no())
         deep, record = patch_checks(c, p, kind.contract, at, opt)
         fresh = record_checks(p, kind.contract, at, opt)
         inner = [k.when(both) for k in deep] + [k.when(~both) for k in fresh]
@@ -156,13 +154,13 @@ def _patched_field(c: Value, p: Value, f: Field, at: Path, given: Column, opt: O
         return _given(effective, f, at, given, opt, inner), value
     effective = p
     if isinstance(p, VariantValue) and isinstance(c, VariantValue) and isinstance(kind, (D.MapOf, D.Either, D.Custom)):
-        both = F.coalesce(c.is_object(), NO) & F.coalesce(p.is_object(), NO)
+        both = F.coalesce(c.is_object(), no()) & F.coalesce(p.is_object(), no())
         effective = VariantValue(F.when(both, deep_merge(c.v, p.v, opt.depth)).otherwise(p.v))
     return _given(effective, f, at, given, opt, None), decode(effective, f.type, opt.jvm).value
 
 
 def _given(value: Value, f: Field, at: Path, given: Column, opt: Options, inner: list[Check] | None) -> list[Check]:
-    ok = F.coalesce(decode(value, f.type, opt.jvm).ok, NO)
+    ok = F.coalesce(decode(value, f.type, opt.jvm).ok, no())
     there = given & (~value.null if f.optional else F.lit(True))
     wrong = mismatch(value, at, f"'{f.name}' has an incorrect type", there & ~ok)
     return [wrong, *content_checks(value, f, at, there & ~value.null & ok, opt, inner)]
