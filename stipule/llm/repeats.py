@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from stipule.llm.common import arrow_map, dropped, table, text_bytes, written
 from stipule.llm.sketch import MIX, mixed
-from stipule.llm.suffixes import LENGTH, merged, repeated, runs, spans, window_words
+from stipule.llm.suffixes import LENGTH, merged, repeated, runs, window_words
 
 #: Bits of an anchor within its bucket, anchors a bucket aims at, least bits of a bucket's number.
-LOW_BITS, BUCKET_ANCHORS, LEAST_BITS = 40, 2_000_000, 6
+LOW_BITS, BUCKET_ANCHORS, LEAST_BITS = 40, 500_000, 8
 #: Runs of one anchor that are gathered in one task, and bytes sorted together.
 HEAVY, CHUNK_BYTES = 2000, 1 << 20
-#: Anchors a task collects before it writes them out.
-FLUSH = 2_000_000
+#: Anchors a task collects before it writes them out, and rows it gives out at once.
+FLUSH, ROWS_OUT = 500_000, 50_000
 LOW = np.uint64((1 << LOW_BITS) - 1)
 
 
@@ -135,11 +135,13 @@ def _entries(held: list[np.ndarray], own: list[int], bits: int) -> pa.RecordBatc
 def shared_anchors(entries: DataFrame) -> DataFrame:
     """``(text, anchor)`` where the anchor is in several texts; a null text marks an anchor as heavy."""
 
-    def out(text: np.ndarray, anchor: np.ndarray, heavy: np.ndarray) -> pa.RecordBatch:
+    def out(text: np.ndarray, anchor: np.ndarray, heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
         texts = pa.concat_arrays([pa.array(text.astype(np.int64)), pa.nulls(len(heavy), pa.int64())])
-        return pa.RecordBatch.from_arrays([texts, pa.array(np.concatenate([anchor, heavy]).astype(np.int64))], names=["text", "anchor"])
+        whole = pa.RecordBatch.from_arrays([texts, pa.array(np.concatenate([anchor, heavy]).astype(np.int64))], names=["text", "anchor"])
+        for k in range(0, whole.num_rows, ROWS_OUT):
+            yield whole.slice(k, ROWS_OUT)
 
-    def bucket(number: int, parts: list[tuple]) -> pa.RecordBatch:
+    def bucket(number: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         anchor = np.concatenate([_unpacked(p[0]) for p in parts])
         text = np.concatenate([_unpacked(p[1]) for p in parts])
         count = np.concatenate([np.frombuffer(p[2], "<u2") for p in parts]).astype(np.int64)
@@ -160,15 +162,15 @@ def shared_anchors(entries: DataFrame) -> DataFrame:
             for number, known, anchors, texts, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if known:
                     anchor = _unpacked(anchors) | np.frombuffer(extra, "<u4").astype(np.uint64) << np.uint64(LOW_BITS)
-                    yield out(_unpacked(texts), anchor, np.zeros(0, np.uint64))
+                    yield from out(_unpacked(texts), anchor, np.zeros(0, np.uint64))
                     continue
                 if number != at and parts:
-                    yield bucket(at, parts)
+                    yield from bucket(at, parts)
                     parts = []
                 at = number
                 parts.append((anchors, texts, extra))
         if parts:
-            yield bucket(at, parts)
+            yield from bucket(at, parts)
 
     placed = entries.repartition("known", "bucket").sortWithinPartitions("known", "bucket")
     return arrow_map(placed, ["bucket", "known", "anchors", "texts", "counts"], run, "text long, anchor long")
@@ -192,24 +194,33 @@ def run_rows(texts: DataFrame, bits: int) -> DataFrame:
     ``at`` is the first window's place and ``held`` the bytes of all its windows.
     """
 
+    names = ["anchor", "heavy", "id", "text", "at", "held"]
+
+    def given(anchors: list[np.ndarray], high: list[np.ndarray], rows: list[int], at: list[np.ndarray], held: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
+        join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+        who = pa.array(np.repeat(rows, [len(a) for a in at]).astype(np.int64))
+        cols = [pa.array(join(anchors, np.int64)), pa.array(join(high, bool)), batch.column(0).take(who), batch.column(1).take(who), pa.array(join(at, np.int64)), pa.array(held, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, t, z, light, heavy in zip(*(batch.column(k) for k in range(5)), strict=True):
-                data = open_.decompress(z.as_py())
+            anchors, high, rows, at, held = [], [], [], [], []
+            listed = [[set(x) if x else () for x in batch.column(k).to_pylist()] for k in (3, 4)]
+            for row, z in enumerate(batch.column(2)):
+                data, light, heavy = open_.decompress(z.as_py()), listed[0][row], listed[1][row]
                 found = runs(data)
-                anchor = found.anchor >> np.uint64(64 - bits - LOW_BITS)
-                high = np.isin(anchor, np.array(heavy.as_py() or [], np.uint64))
-                pick = np.flatnonzero(high | np.isin(anchor, np.array(light.as_py() or [], np.uint64)))
-                cols[0].extend(anchor[pick].astype(np.int64).tolist())
-                cols[1].extend(high[pick].tolist())
-                cols[2].extend([i.as_py()] * len(pick))
-                cols[3].extend([t.as_py()] * len(pick))
-                cols[4].extend(found.start[pick].tolist())
-                cols[5].extend(data[s : e + LENGTH - 1] for s, e in zip(found.start[pick].tolist(), found.end[pick].tolist(), strict=True))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "heavy", "id", "text", "at", "held"])
+                anchor = (found.anchor >> np.uint64(64 - bits - LOW_BITS)).astype(np.int64)
+                pick = np.array([k for k, a in enumerate(anchor.tolist()) if a in light or a in heavy], np.intp)
+                anchors.append(anchor[pick])
+                high.append(np.array([a in heavy for a in anchors[-1].tolist()], bool))
+                rows.append(row)
+                at.append(found.start[pick])
+                held += [data[s:e] for s, e in zip(at[-1].tolist(), (found.end[pick] + LENGTH - 1).tolist(), strict=True)]
+                if len(held) > ROWS_OUT:
+                    yield given(anchors, high, rows, at, held, batch)
+                    anchors, high, rows, at, held = [], [], [], [], []
+            yield given(anchors, high, rows, at, held, batch)
 
     return arrow_map(texts, ["id", "text", "z", "light", "heavy"], run, "anchor long, heavy boolean, id long, text long, at long, held binary")
 
@@ -227,33 +238,56 @@ def _windows(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def gathered(rows: DataFrame) -> DataFrame:
     """Intervals ``(id, text, s, e)`` to remove, from runs brought together by anchor."""
 
-    def settle(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        least: dict[bytes, int] = {}
-        for i, _, _, h in rows:
-            least[h] = min(i, least.get(h, i))
-        out = [(i, t, a, a + len(h)) for i, t, a, h in rows if i > least[h]]
-        if len(least) > 1:
-            names = list(least)
-            words, whose = _windows(names)
-            owner = np.array([least[h] for h in names], np.int64)[whose]
-            flags = repeated(words, owner)
-            cuts = np.searchsorted(whose, np.arange(1, len(names)))
-            marks = {h: list(spans(f)) for h, f in zip(names, np.split(flags, cuts), strict=True)}
-            out += [(i, t, a + s, a + e + LENGTH - 1) for i, t, a, h in rows if i == least[h] for s, e in marks[h]]
+    def settle(groups: list[tuple[list, dict]]) -> pa.RecordBatch:
+        """Windows of differing runs of one anchor, of many anchors at once."""
+        names = [h for _, least in groups for h in least]
+        words, whose = _windows(names)
+        owner = np.array([i for _, least in groups for i in least.values()], np.int64)[whose]
+        flags = repeated(words, owner)
+        # Runs of different anchors have no windows in common, so one suffix order serves all.
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])) != 0)
+        marks: dict[bytes, list[tuple[int, int]]] = {}
+        first = np.searchsorted(whose, np.arange(len(names)))
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            while s < e:  # a marked stretch may reach over several runs
+                k = int(whose[s])
+                end = min(e, int(first[k + 1]) if k + 1 < len(names) else len(flags))
+                marks.setdefault(names[k], []).append((s - int(first[k]), end - int(first[k])))
+                s = end
+        return given([(i, t, a + s, a + e + LENGTH - 1) for rows, least in groups for i, t, a, h in rows if h in marks and i == least[h] for s, e in marks[h]])
+
+    def given(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["id", "text", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, last = [], 0, None
+        done, waiting, size = [], [], 0  # intervals found, anchors to sort, and their bytes
+        last, rows, least = None, [], {}
+
+        def close() -> None:
+            nonlocal size
+            # A run that a smaller document has too goes whole; the rest is compared window by window.
+            done.extend((i, t, a, a + len(h)) for i, t, a, h in rows if i > least[h])
+            if len(least) > 1:
+                waiting.append(([r for r in rows if r[0] == least[r[3]]], least))
+                size += sum(map(len, least))
+
         for batch in batches:
             for anchor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and size > CHUNK_BYTES:
-                    yield settle(waiting)
-                    waiting, size = [], 0
-                last = anchor
-                waiting.append(row)
-                size += len(row[3])
+                if anchor != last:
+                    close()
+                    last, rows, least = anchor, [], {}
+                    if size > CHUNK_BYTES:
+                        yield settle(waiting)
+                        waiting, size = [], 0
+                    if len(done) > ROWS_OUT:
+                        yield given(done)
+                        done = []
+                rows.append(row)
+                least.setdefault(row[3], row[0])  # rows come by rising id
+        close()
         if waiting:
             yield settle(waiting)
+        yield given(done)
 
     placed = rows.select("anchor", "id", "text", "at", "held").repartition("anchor").sortWithinPartitions("anchor", "id")
     return arrow_map(placed, ["anchor", "id", "text", "at", "held"], run, "id long, text long, s long, e long")

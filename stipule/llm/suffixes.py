@@ -9,7 +9,6 @@ run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -134,12 +133,6 @@ def repeated(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Maximal runs of true flags as (first, end)."""
-    edge = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0))
-    yield from zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)
-
-
 def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Union of intervals as disjoint, non-touching intervals in order."""
     out: list[tuple[int, int]] = []
