@@ -97,14 +97,20 @@ def _raw(v: Column, f: Field, tagged: bool) -> Column | None:
             continue
         if kind.key is None:
             inner = value.member(side)
-            cleaned = as_record(F.transform_values(as_map(v), lambda k, x, s=side, b=branch: F.when((k == s) & VariantValue(x).is_object(), sanitize_raw(x, b.contract, tagged)).otherwise(x)))
-            out = F.when(~inner.absent, cleaned).otherwise(out)
+            out = F.when(~inner.absent, _side_cleaned(v, side, branch.contract, tagged)).otherwise(out)
         elif tagged:
             is_side = F.coalesce(value.member(kind.key).scalar(D.String, False).value == tag, F.lit(False))
             out = F.when(is_side, sanitize_raw(v, branch.contract, tagged)).otherwise(out)
     return out
 
 
+def _side_cleaned(v: Column, side: str, contract: Contract, tagged: bool) -> Column:
+    def clean(k: Column, x: Column) -> Column:
+        return F.when((k == side) & VariantValue(x).is_object(), sanitize_raw(x, contract, tagged)).otherwise(x)
+
+    return as_record(F.transform_values(as_map(v), clean))
+
+
 def flatten(df: DataFrame, contract: Contract, record: str = "value") -> DataFrame:
     """A decoded record's fields as columns, included contracts at the same level."""
     at = F.col(f"`{record}`")
