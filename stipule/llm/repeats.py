@@ -11,9 +11,12 @@ least id go whole.  Of the distinct texts:
 2. The bytes of those runs are brought together by anchor.  Suffixes are sorted,
    and a window whose longest previous factor in a smaller document has full
    length is marked.
-3. An anchor in more than ``HEAVY`` runs is not gathered: equal runs are settled
+3. An anchor in more than ``HEAVY`` texts is not gathered: equal runs are settled
    by aggregating their digests, and the windows of the differing ones likewise.
 
+Runs count as equal if anchor and digest agree, which for different ones has a
+probability of 2 ** -64 for each pair.
+
 Matches never cross documents, and overlapping ones are judged on the input.
 
 Defined results: null texts are empty; texts shorter than a window keep all;
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +41,12 @@ from pyspark.sql import functions as F
 from stipule.llm.common import arrow_map, dropped, table, text_bytes, written
 from stipule.llm.sketch import MIX, mixed
 from stipule.llm.suffixes import LENGTH, merged, repeated, runs, window_words
+from stipule.llm.suffixes import digests as digests_of
 
 #: Bits of an anchor within its bucket, anchors a bucket aims at, least bits of a bucket's number.
 LOW_BITS, BUCKET_ANCHORS, LEAST_BITS = 40, 500_000, 8
-#: Runs of one anchor that are gathered in one task, and bytes sorted together.
-HEAVY, CHUNK_BYTES = 2000, 1 << 20
+#: Texts of one anchor that are gathered in one task, and runs looked at together.
+HEAVY, CHUNK_ROWS = 500, 20_000
 #: Anchors a task collects before it writes them out, and rows it gives out at once.
 FLUSH, ROWS_OUT = 500_000, 50_000
 LOW = np.uint64((1 << LOW_BITS) - 1)
@@ -189,23 +194,23 @@ def compressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def run_rows(texts: DataFrame, bits: int) -> DataFrame:
-    """The runs of ``(id, text, z, light, heavy)`` whose anchors are listed: ``anchor, heavy, id, text, at, held``.
+    """The runs of ``(id, text, z, light, heavy)`` whose anchors are listed: ``anchor, d, heavy, id, text, at, held``.
 
     ``at`` is the first window's place and ``held`` the bytes of all its windows.
     """
 
-    names = ["anchor", "heavy", "id", "text", "at", "held"]
+    names = ["anchor", "d", "heavy", "id", "text", "at", "held"]
 
-    def given(anchors: list[np.ndarray], high: list[np.ndarray], rows: list[int], at: list[np.ndarray], held: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
+    def given(anchors: list[np.ndarray], digest: list[np.ndarray], high: list[np.ndarray], rows: list[int], at: list[np.ndarray], held: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
         who = pa.array(np.repeat(rows, [len(a) for a in at]).astype(np.int64))
-        cols = [pa.array(join(anchors, np.int64)), pa.array(join(high, bool)), batch.column(0).take(who), batch.column(1).take(who), pa.array(join(at, np.int64)), pa.array(held, pa.binary())]
+        cols = [pa.array(join(anchors, np.int64)), pa.array(join(digest, np.uint64).view(np.int64)), pa.array(join(high, bool)), batch.column(0).take(who), batch.column(1).take(who), pa.array(join(at, np.int64)), pa.array(held, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            anchors, high, rows, at, held = [], [], [], [], []
+            anchors, digest, high, rows, at, held = [], [], [], [], [], []
             listed = [[set(x) if x else () for x in batch.column(k).to_pylist()] for k in (3, 4)]
             for row, z in enumerate(batch.column(2)):
                 data, light, heavy = open_.decompress(z.as_py()), listed[0][row], listed[1][row]
@@ -216,107 +221,113 @@ def run_rows(texts: DataFrame, bits: int) -> DataFrame:
                 high.append(np.array([a in heavy for a in anchors[-1].tolist()], bool))
                 rows.append(row)
                 at.append(found.start[pick])
+                digest.append(digests_of(np.frombuffer(data, np.uint8), found.start[pick], found.end[pick]))
                 held += [data[s:e] for s, e in zip(at[-1].tolist(), (found.end[pick] + LENGTH - 1).tolist(), strict=True)]
                 if len(held) > ROWS_OUT:
-                    yield given(anchors, high, rows, at, held, batch)
-                    anchors, high, rows, at, held = [], [], [], [], []
-            yield given(anchors, high, rows, at, held, batch)
+                    yield given(anchors, digest, high, rows, at, held, batch)
+                    anchors, digest, high, rows, at, held = [], [], [], [], [], []
+            yield given(anchors, digest, high, rows, at, held, batch)
 
-    return arrow_map(texts, ["id", "text", "z", "light", "heavy"], run, "anchor long, heavy boolean, id long, text long, at long, held binary")
+    return arrow_map(texts, ["id", "text", "z", "light", "heavy"], run, "anchor long, d long, heavy boolean, id long, text long, at long, held binary")
 
 
-def _windows(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all windows of some runs, and the run of each."""
-    data = np.frombuffer(b"".join(held), np.uint8)
-    begin = np.cumsum([0, *(len(h) for h in held[:-1])])
-    many = np.array([len(h) - LENGTH + 1 for h in held])
+def _windows(held: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all windows of some runs, the run of each, and its place in the run."""
+    many = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer(b"".join(held.to_pylist()), np.uint8)
+    begin = np.cumsum(many) - many
+    many = many - LENGTH + 1
     whose = np.repeat(np.arange(len(held)), many)
-    start = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many) + begin[whose]
-    return window_words(data, start), whose
+    place = np.arange(len(whose)) - np.repeat(np.cumsum(many) - many, many)
+    return window_words(data, place + begin[whose]), whose, place
+
+
+def _intervals(ids: np.ndarray, texts: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, texts, s, e)], names=["id", "text", "s", "e"])
+
+
+def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Intervals from whole anchors, their rows sorted by anchor and id."""
+    anchor, d, ids, texts, at = (rows[c].to_numpy() for c in ("anchor", "d", "id", "text", "at"))
+    size = pc.binary_length(rows["held"]).to_numpy()
+    order = np.lexsort((np.arange(len(ids)), d, anchor))
+    new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (d[order][1:] != d[order][:-1])])
+    kind = np.empty(len(ids), np.int64)  # which distinct run a row is
+    kind[order] = np.cumsum(new) - 1
+    rep = order[new]  # the first row of each, so that of least id
+    # A run that a smaller document has too goes whole.
+    whole = ids > ids[rep][kind]
+    yield _intervals(ids[whole], texts[whole], at[whole], (at + size)[whole])
+    # Differing runs of one anchor are compared window by window.  Those of
+    # different anchors have no windows in common, so one suffix order serves all.
+    home = anchor[rep]
+    several = np.concatenate([[False], home[1:] == home[:-1]])
+    several[:-1] |= several[1:]
+    asked = np.flatnonzero(several)
+    if not len(asked):
+        return
+    words, whose, place = _windows(rows["held"].take(pa.array(rep[asked])).combine_chunks())
+    flags = repeated(words, ids[rep[asked]][whose])
+    hit = np.flatnonzero(flags)
+    if not len(hit):
+        return
+    # Stretches of marked windows within one run.
+    cut = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (whose[hit[1:]] != whose[hit[:-1]])])
+    first, last = hit[cut], hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
+    of = asked[whose[first]]
+    # The same document may have a run several times.
+    same = np.flatnonzero(~whole & np.isin(kind, of))
+    by = np.argsort(kind[same], kind="stable")
+    same, kinds = same[by], kind[same][by]
+    low, high = np.searchsorted(kinds, of, "left"), np.searchsorted(kinds, of, "right")
+    many = high - low
+    row = same[np.repeat(low, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+    yield _intervals(ids[row], texts[row], at[row] + np.repeat(place[first], many), at[row] + np.repeat(place[last], many) + LENGTH)
 
 
 def gathered(rows: DataFrame) -> DataFrame:
     """Intervals ``(id, text, s, e)`` to remove, from runs brought together by anchor."""
 
-    def settle(groups: list[tuple[list, dict]]) -> pa.RecordBatch:
-        """Windows of differing runs of one anchor, of many anchors at once."""
-        names = [h for _, least in groups for h in least]
-        words, whose = _windows(names)
-        owner = np.array([i for _, least in groups for i in least.values()], np.int64)[whose]
-        flags = repeated(words, owner)
-        # Runs of different anchors have no windows in common, so one suffix order serves all.
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])) != 0)
-        marks: dict[bytes, list[tuple[int, int]]] = {}
-        first = np.searchsorted(whose, np.arange(len(names)))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            while s < e:  # a marked stretch may reach over several runs
-                k = int(whose[s])
-                end = min(e, int(first[k + 1]) if k + 1 < len(names) else len(flags))
-                marks.setdefault(names[k], []).append((s - int(first[k]), end - int(first[k])))
-                s = end
-        return given([(i, t, a + s, a + e + LENGTH - 1) for rows, least in groups for i, t, a, h in rows if h in marks and i == least[h] for s, e in marks[h]])
-
-    def given(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["id", "text", "s", "e"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, waiting, size = [], [], 0  # intervals found, anchors to sort, and their bytes
-        last, rows, least = None, [], {}
-
-        def close() -> None:
-            nonlocal size
-            # A run that a smaller document has too goes whole; the rest is compared window by window.
-            done.extend((i, t, a, a + len(h)) for i, t, a, h in rows if i > least[h])
-            if len(least) > 1:
-                waiting.append(([r for r in rows if r[0] == least[r[3]]], least))
-                size += sum(map(len, least))
-
+        waiting: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
-            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last:
-                    close()
-                    last, rows, least = anchor, [], {}
-                    if size > CHUNK_BYTES:
-                        yield settle(waiting)
-                        waiting, size = [], 0
-                    if len(done) > ROWS_OUT:
-                        yield given(done)
-                        done = []
-                rows.append(row)
-                least.setdefault(row[3], row[0])  # rows come by rising id
-        close()
+            waiting.append(batch)
+            count += batch.num_rows
+            if count < CHUNK_ROWS:
+                continue
+            # The last anchor may go on in the next batch.
+            held = pa.Table.from_batches(waiting)
+            anchor = held["anchor"].to_numpy()
+            end = int(np.searchsorted(anchor, anchor[-1]))
+            if end:
+                yield from _settled(held.slice(0, end))
+            rest = held.slice(end).combine_chunks()
+            waiting, count = rest.to_batches(), rest.num_rows if end else 0
         if waiting:
-            yield settle(waiting)
-        yield given(done)
+            yield from _settled(pa.Table.from_batches(waiting))
 
-    placed = rows.select("anchor", "id", "text", "at", "held").repartition("anchor").sortWithinPartitions("anchor", "id")
-    return arrow_map(placed, ["anchor", "id", "text", "at", "held"], run, "id long, text long, s long, e long")
+    names = ["anchor", "d", "id", "text", "at", "held"]
+    placed = rows.select(*names).repartition("anchor").sortWithinPartitions("anchor", "id")
+    return arrow_map(placed, names, run, "id long, text long, s long, e long")
 
 
 def aggregated(rows: DataFrame) -> DataFrame:
     """The same intervals for heavy anchors, by digests of runs, then of windows."""
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [xxhash.xxh3_128_digest(h) for h in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["id", "text", "at", "held", "key"])
-
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, whose = _windows(batch.column(3).to_pylist())
+            words, whose, place = _windows(batch.column(3))
             one, two = np.zeros(len(whose), np.uint64), np.ones(len(whose), np.uint64)
             for w in words:
                 one, two = mixed(one * MIX[0] + w), mixed(two * MIX[1] ^ w)
-            first = np.concatenate([[0], np.flatnonzero(np.diff(whose)) + 1])
-            place = np.arange(len(whose)) - first[whose]
             ids, texts, at = (batch.column(k).to_numpy(zero_copy_only=False)[whose] for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(at + place), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))], names=["id", "text", "s", "w1", "w2"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(at + place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "text", "s", "w1", "w2"])
 
-    known = arrow_map(rows, ["id", "text", "at", "held"], digest, "id long, text long, at long, held binary, key binary")
-    least = known.groupBy("key").agg(F.min("id").alias("least"))
-    settled = written(known.join(least, "key"), "heavy")
+    least = rows.groupBy("anchor", "d").agg(F.min("id").alias("least"))
+    settled = written(rows.join(least, ["anchor", "d"]), "heavy")
     whole = settled.where("id > least").select("id", "text", F.col("at").alias("s"), (F.col("at") + F.length("held")).alias("e"))
     windows = arrow_map(settled.where("id = least"), ["id", "text", "at", "held"], explode, "id long, text long, s long, w1 long, w2 long")
     first = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")

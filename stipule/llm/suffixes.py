@@ -68,8 +68,34 @@ def runs(data: bytes) -> Runs:
 
 
 def suffix_order(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Windows (columns of words) in suffix order, by owner among equals."""
-    return np.lexsort((owner, *words[::-1]))
+    """Windows (columns of words) in suffix order, by owner among equals.
+
+    Only windows that still tie with a neighbour are sorted by the next word.
+    """
+    order = np.argsort(words[0])
+    tied = np.concatenate([[False], words[0][order[1:]] == words[0][order[:-1]]])  # with the one before
+    for key in (*words[1:], owner):
+        member = tied.copy()
+        member[:-1] |= tied[1:]
+        at = np.flatnonzero(member)
+        if not len(at):
+            break
+        group = np.cumsum(~tied[at])
+        part = order[at]
+        part = part[np.lexsort((key[part], group))]
+        order[at] = part
+        tied[at[1:]] &= key[part[1:]] == key[part[:-1]]
+    return order
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each run's bytes, from the sum of their mixed eight-byte words."""
+    v = words_at(data)
+    many = end - start + LENGTH - 8
+    edge = np.cumsum(many) - many
+    place = np.arange(int(many.sum())) - np.repeat(edge, many)
+    part = mixed(v[place + np.repeat(start, many)] + mixed(place.astype(np.uint64) * MIX[0]))
+    return mixed(np.add.reduceat(part, edge) + many.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
 
 
 def window_words(data: np.ndarray, start: np.ndarray) -> np.ndarray:
