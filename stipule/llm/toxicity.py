@@ -1,6 +1,7 @@
 """Toxicity: a logistic word model, regularised by counterfactual sentences.
 
-Each labelled text is a set of word features with damped counts.  For every text
+Each labelled text is a set of features with damped counts: its words, and the
+beginnings of its words, so that inflected forms share what they say.  For every text
 that holds an identity term, a copy is made in which each term is swapped for
 another term of its group.  Training minimises log loss plus ``pull`` times the
 squared change of the score between a text and its copy, so neutral mentions of
@@ -44,29 +45,48 @@ IDENTITY = (
     ("immigrant", "immigrants", "refugee", "refugees"),
 )
 WORD = re.compile(r"[^\W\d_]+")
-SAMPLE, MIN_DOCS, PULL, DECAY, ROUNDS, HELD_MOD = 6_000, 5, 1.0, 1.0, 200, 5
+BEGINNINGS = (3, 4, 5)
+SAMPLE, MIN_DOCS, PULL, DECAY, ROUNDS, HELD_MOD = 6_000, 5, 1.0, 1.0, 300, 5
+#: Standard errors by which a feature's share of label 1 must differ from the overall one.
+LEAST_Z = 3.0
+#: Words remembered by a task between texts.
+MEMO = 200_000
 
 
 def _swaps() -> dict[str, str]:
     return {term: group[(k + 1) % len(group)] for group in IDENTITY for k, term in enumerate(group)}
 
 
+def features(word: str) -> tuple[str, ...]:
+    """A word and its marked beginnings."""
+    return (word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n))
+
+
 class Model(NamedTuple):
-    """Word weights and intercept."""
+    """Feature weights and intercept."""
 
     weights: dict[str, float]
     intercept: float
 
+
+class Scorer:
+    """Applies a model; remembers which known features a word has."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, {}
+
     def score(self, text: str | None) -> float:
         """Probability of label 1."""
-        if not text:
-            return _sigmoid(self.intercept)
-        get = self.weights.get
-        hit: dict[str, int] = {}
-        for w in WORD.findall(text.lower()):
-            if get(w) is not None:
-                hit[w] = hit.get(w, 0) + 1
-        return _sigmoid(self.intercept + sum(get(w) * _damp(n) for w, n in sorted(hit.items())))
+        weights, known, hit = self.model.weights, self.known, {}
+        if len(known) > MEMO:
+            known.clear()
+        for w in WORD.findall((text or "").lower()):
+            found = known.get(w)
+            if found is None:
+                found = known[w] = tuple(f for f in features(w) if f in weights)
+            for f in found:
+                hit[f] = hit.get(f, 0) + 1
+        return _sigmoid(self.model.intercept + sum(weights[f] * _damp(n) for f, n in sorted(hit.items())))
 
 
 def _damp(n: float) -> float:
@@ -84,21 +104,26 @@ def counterfactual(words: list[str]) -> list[str] | None:
     return turned if turned != words else None
 
 
-def fit(texts: list[str | None], labels: list[int], *, pull: float = PULL, decay: float = DECAY, rounds: int = ROUNDS, min_docs: int = MIN_DOCS) -> Model:
+def fit(texts: list[str | None], labels: list[int], *, pull: float = PULL, decay: float = DECAY, rounds: int = ROUNDS, min_docs: int = MIN_DOCS, least_z: float = LEAST_Z) -> Model:
     """Train on labelled texts; ``rounds`` steps over all of them.
 
-    Words in fewer than ``min_docs`` texts get no weight of their own.
+    Features in fewer than ``min_docs`` texts get no weight, nor do those whose
+    share of label 1 is within ``least_z`` standard errors of the overall share.
     """
     counts = []
     for t in texts:
         words = WORD.findall((t or "").lower())
         bags = [words, counterfactual(words)]
         counts.append([None if b is None else _bag(b) for b in bags])
-    seen: dict[str, int] = {}
-    for bag, other in counts:
-        for w in {*bag, *(other or {})}:
-            seen[w] = seen.get(w, 0) + 1
-    names = sorted(w for w, n in seen.items() if n >= min_docs)
+    seen: dict[str, list[int]] = {}
+    for (bag, other), label in zip(counts, labels, strict=True):
+        for w in bag:
+            seen.setdefault(w, [0, 0])[label] += 1
+        for w in other or ():
+            seen.setdefault(w, [0, 0])
+    share = sum(labels) / max(len(labels), 1)
+    swaps = {f for term in _swaps() for f in features(term)}
+    names = sorted(w for w, (no, yes) in seen.items() if w in swaps or no + yes >= min_docs and _telling(no, yes, share, least_z))
     if not names or not labels or len(set(labels)) < 2:
         share = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.5
         return Model({}, math.log(share / (1 - share)))
@@ -116,10 +141,16 @@ def fit(texts: list[str | None], labels: list[int], *, pull: float = PULL, decay
     return _descend(len(texts), names, np.array(labels, float), (np.array(rows), np.array(cols), np.array(vals)), tuple(map(np.array, diff)), pull, decay, rounds)
 
 
+def _telling(no: int, yes: int, share: float, least_z: float) -> bool:
+    n = no + yes
+    return abs(yes - n * share) >= least_z * math.sqrt(n * share * (1 - share))
+
+
 def _bag(words: list[str]) -> dict[str, int]:
     out: dict[str, int] = {}
     for w in words:
-        out[w] = out.get(w, 0) + 1
+        for f in features(w):
+            out[f] = out.get(f, 0) + 1
     return out
 
 
@@ -179,8 +210,9 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Score every whole text; ``predicted`` is 1 from a score of 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(1).to_pylist()]
+            scores = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
