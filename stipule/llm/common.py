@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -68,6 +69,16 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver's garbage is collected, which a long job
+    with large shuffles cannot wait for.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
 def arrow_map(
     df: DataFrame,
     columns: Sequence[str],

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipule.llm.common import arrow_map, dropped, table, text_bytes, written
+from stipule.llm.common import arrow_map, dropped, release, table, text_bytes, written
 from stipule.llm.sketch import MIX, mixed
 from stipule.llm.suffixes import LENGTH, merged, repeated, runs, window_words
 from stipule.llm.suffixes import digests as digests_of
@@ -194,17 +194,25 @@ def compressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def run_rows(texts: DataFrame, bits: int) -> DataFrame:
-    """The runs of ``(id, text, z, light, heavy)`` whose anchors are listed: ``anchor, d, heavy, id, text, at, held``.
+    """The runs of ``(id, text, z, light, heavy)`` whose anchors are listed: ``anchor, d, heavy, id, text, at, size, held``.
 
-    ``at`` is the first window's place and ``held`` the bytes of all its windows.
+    ``at`` is the first window's place and ``held`` the bytes of all its windows;
+    it is null where a batch has the same run in a document of smaller id.
     """
 
-    names = ["anchor", "d", "heavy", "id", "text", "at", "held"]
+    names = ["anchor", "d", "heavy", "id", "text", "at", "size", "held"]
 
     def given(anchors: list[np.ndarray], digest: list[np.ndarray], high: list[np.ndarray], rows: list[int], at: list[np.ndarray], held: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
-        who = pa.array(np.repeat(rows, [len(a) for a in at]).astype(np.int64))
-        cols = [pa.array(join(anchors, np.int64)), pa.array(join(digest, np.uint64).view(np.int64)), pa.array(join(high, bool)), batch.column(0).take(who), batch.column(1).take(who), pa.array(join(at, np.int64)), pa.array(held, pa.binary())]
+        who = np.repeat(rows, [len(a) for a in at]).astype(np.int64)
+        ids, anchor, d = batch.column(0).to_numpy(zero_copy_only=False)[who], join(anchors, np.int64), join(digest, np.uint64).view(np.int64)
+        # Only the least id of equal runs can be asked for its bytes.
+        order = np.lexsort((ids, d, anchor))
+        new = np.concatenate([np.ones(min(1, len(order)), bool), (anchor[order][1:] != anchor[order][:-1]) | (d[order][1:] != d[order][:-1])])
+        needed = np.zeros(len(order), bool)
+        needed[order] = ids[order] == ids[order[new]][np.cumsum(new) - 1]
+        kept = pa.array([h if n else None for h, n in zip(held, needed.tolist(), strict=True)], pa.binary())
+        cols = [pa.array(anchor), pa.array(d), pa.array(join(high, bool)), pa.array(ids), batch.column(1).take(pa.array(who)), pa.array(join(at, np.int64)), pa.array([len(h) for h in held], pa.int32()), kept]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +236,7 @@ def run_rows(texts: DataFrame, bits: int) -> DataFrame:
                     anchors, digest, high, rows, at, held = [], [], [], [], [], []
             yield given(anchors, digest, high, rows, at, held, batch)
 
-    return arrow_map(texts, ["id", "text", "z", "light", "heavy"], run, "anchor long, d long, heavy boolean, id long, text long, at long, held binary")
+    return arrow_map(texts, ["id", "text", "z", "light", "heavy"], run, "anchor long, d long, heavy boolean, id long, text long, at long, size int, held binary")
 
 
 def _windows(held: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +257,7 @@ def _intervals(ids: np.ndarray, texts: np.ndarray, s: np.ndarray, e: np.ndarray)
 def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """Intervals from whole anchors, their rows sorted by anchor and id."""
     anchor, d, ids, texts, at = (rows[c].to_numpy() for c in ("anchor", "d", "id", "text", "at"))
-    size = pc.binary_length(rows["held"]).to_numpy()
+    size = rows["size"].to_numpy()
     order = np.lexsort((np.arange(len(ids)), d, anchor))
     new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (d[order][1:] != d[order][:-1])])
     kind = np.empty(len(ids), np.int64)  # which distinct run a row is
@@ -307,7 +315,7 @@ def gathered(rows: DataFrame) -> DataFrame:
         if waiting:
             yield from _settled(pa.Table.from_batches(waiting))
 
-    names = ["anchor", "d", "id", "text", "at", "held"]
+    names = ["anchor", "d", "id", "text", "at", "size", "held"]
     placed = rows.select(*names).repartition("anchor").sortWithinPartitions("anchor", "id")
     return arrow_map(placed, names, run, "id long, text long, s long, e long")
 
@@ -328,7 +336,7 @@ def aggregated(rows: DataFrame) -> DataFrame:
 
     least = rows.groupBy("anchor", "d").agg(F.min("id").alias("least"))
     settled = written(rows.join(least, ["anchor", "d"]), "heavy")
-    whole = settled.where("id > least").select("id", "text", F.col("at").alias("s"), (F.col("at") + F.length("held")).alias("e"))
+    whole = settled.where("id > least").select("id", "text", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
     windows = arrow_map(settled.where("id = least"), ["id", "text", "at", "held"], explode, "id long, text long, s long, w1 long, w2 long")
     first = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     apart = windows.join(first, ["w1", "w2"]).where("id > least").select("id", "text", "s", (F.col("s") + LENGTH).alias("e"))
@@ -365,21 +373,24 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     bits = max(LEAST_BITS, math.ceil(math.log2(max(total, 1) / 18 / BUCKET_ANCHORS)))
     shared = written(shared_anchors(anchor_entries(df.where(F.col(id_col).isNotNull()), text_col, bits)), "shared")
     heavy = shared.where("text is null").select("anchor").distinct().withColumn("heavy", F.lit(True))
-    listed = shared.where("text is not null").distinct().join(heavy, "anchor", "left")
+    listed = shared.where("text is not null").join(heavy, "anchor", "left")
     # A text's anchors are fewer than its bytes.
-    by_text = listed.groupBy("text").agg(F.collect_list(F.when(F.col("heavy").isNull(), F.col("anchor"))).alias("light"), F.collect_list(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy"))
+    by_text = listed.groupBy("text").agg(F.collect_set(F.when(F.col("heavy").isNull(), F.col("anchor"))).alias("light"), F.collect_set(F.when(F.col("heavy"), F.col("anchor"))).alias("heavy"))
     usable = sizes.where(F.col("id").isNotNull() & (F.col("n") >= LENGTH))
     first = usable.groupBy("key").agg(F.min("id").alias("first"), F.min("text").alias("text"))
     wanted = first.select(F.col("first").alias("id"), "text").join(by_text, "text")
     texts = compressed(df.where(F.col(id_col).isNotNull()), id_col, text_col)
     rows = written(run_rows(texts.join(wanted, ["id", "text"]), bits), "runs")
+    dropped(shared)
+    del heavy, listed, by_text, first, wanted, texts
+    release(df.sparkSession)
     found = gathered(rows.where("not heavy"))
     if not rows.where("heavy").isEmpty():
         found = found.unionByName(aggregated(rows.where("heavy")))
     left = written(removals(df, id_col, text_col, found).distinct(), "left")
-    for done in (shared, rows):
-        dropped(done)
-    out = sizes.join(first.select("key", "first"), "key", "left").join(left, ["id", "text"], "left")
+    dropped(rows)
+    first = usable.groupBy("key").agg(F.min("id").alias("first"))
+    out = sizes.join(first, "key", "left").join(left, ["id", "text"], "left")
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     pick = lambda whole, part, none: F.when(copy, whole).otherwise(F.coalesce(part, none))
     return out.select(
