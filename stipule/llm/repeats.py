@@ -294,14 +294,30 @@ def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """Intervals ``(id, text, s, e)`` to remove, from runs brought together by anchor."""
+    """Intervals ``(id, text, s, e)`` to remove, from runs brought together by anchor.
+
+    Runs of heavy anchors are dealt out by id instead and come back as they are:
+    with ``anchor``, ``d`` and ``held``, and ``e - s`` their size.
+    """
+
+    def plain(found: pa.RecordBatch) -> pa.RecordBatch:
+        none = [pa.nulls(found.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*found.columns, *none], names=out)
+
+    def whole(heavy: pa.RecordBatch) -> pa.RecordBatch:
+        at = heavy.column("at")
+        cols = [heavy.column("id"), heavy.column("text"), at, pc.add(at, heavy.column("size").cast(pa.int64())), *(heavy.column(c) for c in ("anchor", "d", "held"))]
+        return pa.RecordBatch.from_arrays(cols, names=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
-            waiting.append(batch)
-            count += batch.num_rows
+            light = batch.filter(pc.invert(batch.column("heavy")))
+            if light.num_rows < batch.num_rows:
+                yield whole(batch.filter(batch.column("heavy")))
+            waiting.append(light)
+            count += light.num_rows
             if count < CHUNK_ROWS:
                 continue
             # The last anchor may go on in the next batch.
@@ -309,19 +325,20 @@ def gathered(rows: DataFrame) -> DataFrame:
             anchor = held["anchor"].to_numpy()
             end = int(np.searchsorted(anchor, anchor[-1]))
             if end:
-                yield from _settled(held.slice(0, end))
+                yield from map(plain, _settled(held.slice(0, end)))
             rest = held.slice(end).combine_chunks()
             waiting, count = rest.to_batches(), rest.num_rows if end else 0
-        if waiting:
-            yield from _settled(pa.Table.from_batches(waiting))
+        if sum(b.num_rows for b in waiting):
+            yield from map(plain, _settled(pa.Table.from_batches(waiting)))
 
-    names = ["anchor", "d", "id", "text", "at", "size", "held"]
-    placed = rows.select(*names).repartition("anchor").sortWithinPartitions("anchor", "id")
-    return arrow_map(placed, names, run, "id long, text long, s long, e long")
+    names, out = ["heavy", "anchor", "d", "id", "text", "at", "size", "held"], ["id", "text", "s", "e", "anchor", "d", "held"]
+    salted = rows.select(*names, F.when(F.col("heavy"), F.pmod(F.xxhash64("id", "at"), F.lit(1 << 20))).otherwise(0).alias("salt"))
+    placed = salted.repartition("anchor", "salt").sortWithinPartitions("heavy", "anchor", "id")
+    return arrow_map(placed, names, run, "id long, text long, s long, e long, anchor long, d long, held binary")
 
 
 def aggregated(rows: DataFrame) -> DataFrame:
-    """The same intervals for heavy anchors, by digests of runs, then of windows."""
+    """The same intervals for the runs of heavy anchors, by their digests, then those of their windows."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,8 +353,8 @@ def aggregated(rows: DataFrame) -> DataFrame:
 
     least = rows.groupBy("anchor", "d").agg(F.min("id").alias("least"))
     settled = written(rows.join(least, ["anchor", "d"]), "heavy")
-    whole = settled.where("id > least").select("id", "text", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
-    windows = arrow_map(settled.where("id = least"), ["id", "text", "at", "held"], explode, "id long, text long, s long, w1 long, w2 long")
+    whole = settled.where("id > least").select("id", "text", "s", "e")
+    windows = arrow_map(settled.where("id = least"), ["id", "text", "s", "held"], explode, "id long, text long, s long, w1 long, w2 long")
     first = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     apart = windows.join(first, ["w1", "w2"]).where("id > least").select("id", "text", "s", (F.col("s") + LENGTH).alias("e"))
     return whole.unionByName(apart)
@@ -372,6 +389,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = sizes.agg(F.sum("n")).collect()[0][0] or 0
     bits = max(LEAST_BITS, math.ceil(math.log2(max(total, 1) / 18 / BUCKET_ANCHORS)))
     shared = written(shared_anchors(anchor_entries(df.where(F.col(id_col).isNotNull()), text_col, bits)), "shared")
+    release(df.sparkSession)
     heavy = shared.where("text is null").select("anchor").distinct().withColumn("heavy", F.lit(True))
     listed = shared.where("text is not null").join(heavy, "anchor", "left")
     # A text's anchors are fewer than its bytes.
@@ -380,15 +398,15 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first = usable.groupBy("key").agg(F.min("id").alias("first"), F.min("text").alias("text"))
     wanted = first.select(F.col("first").alias("id"), "text").join(by_text, "text")
     texts = compressed(df.where(F.col(id_col).isNotNull()), id_col, text_col)
-    rows = written(run_rows(texts.join(wanted, ["id", "text"]), bits), "runs")
+    found = written(gathered(run_rows(texts.join(wanted, ["id", "text"]), bits)), "found")
     dropped(shared)
     del heavy, listed, by_text, first, wanted, texts
     release(df.sparkSession)
-    found = gathered(rows.where("not heavy"))
-    if not rows.where("heavy").isEmpty():
-        found = found.unionByName(aggregated(rows.where("heavy")))
-    left = written(removals(df, id_col, text_col, found).distinct(), "left")
-    dropped(rows)
+    cuts, many = found.where("anchor is null").select("id", "text", "s", "e"), found.where("anchor is not null")
+    if not many.isEmpty():
+        cuts = cuts.unionByName(aggregated(many))
+    left = written(removals(df, id_col, text_col, cuts).distinct(), "left")
+    dropped(found)
     first = usable.groupBy("key").agg(F.min("id").alias("first"))
     out = sizes.join(first, "key", "left").join(left, ["id", "text"], "left")
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
