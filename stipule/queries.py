@@ -644,7 +644,7 @@ def aspect_violations(spark: SparkSession, sf: str) -> DataFrame:
     return _paths(validate(df, SEGMENT_PATCH), "c_custkey")
 
 
-@_query("aspect_patch", "SELECT c_custkey, c_custkey % 2 = 0 AS is_valid, CASE WHEN c_custkey % 2 = 0 THEN 10.0 END AS c_acctbal FROM customer")
+@_query("aspect_patch", "SELECT c_custkey, c_custkey % 2 = 0 AS is_valid, CASE WHEN c_custkey % 2 = 0 THEN CAST(10 AS DOUBLE) END AS c_acctbal FROM customer")
 def aspect_patch(spark: SparkSession, sf: str) -> DataFrame:
     patch = F.parse_json(F.expr("""case when c_custkey % 2 = 0 then '{"c_acctbal": 10, "c_mktsegment": null}' else '{"c_acctbal": 6000}' end"""))
     df = _customers(spark, sf).withColumn("p", patch)
