@@ -177,3 +177,29 @@ def test_typed_columns(spark):
 def test_typed_nested(spark):
     df = spark.createDataFrame([("a", [("x", 0), ("", 2)])], "id string, items array<struct<name:string,qty:int>>")
     assert codes(validate(df, ORDER).collect()[0]) == [("items.0.qty", "CONSTRAINT(min)"), ("items.1.name", "CONSTRAINT(nonEmpty)")]
+
+
+def test_custom_decoders_and_deep_includes(spark):
+    from pyspark.sql import types as T
+    from stipule import Custom
+
+    day = Custom(T.DateType(), lambda v: F.try_to_date(F.try_variant_get(v, "$", "string"), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.try_variant_get(v, "$", "string").try_cast("date"))
+    c = Contract.define("C", Field("d", day), Field("o", day, optional=True))
+    assert check(spark, c, {"d": "2024-01-31"}, {"d": "nope"}, {"d": "2024-01-31", "o": None}, {}) == [[], [("d", "TYPE_MISMATCH")], [], [("d", "MISSING")]]
+    deep = Contract.define("Deep", Field("top", Nested(DOCUMENT), include=True))  # noqa: F405
+    row = one(spark, deep, {"title": "t", "stamps": {"createdAt": 1}})
+    assert row.is_valid and row.value.top.stamps.createdAt == 1
+
+
+def test_open_patch_keeps_extras_of_both(spark):
+    row = patched(spark, OPEN, {"key": "k", "value": "v", "x": {"a": 1}}, {"value": "w", "x": {"b": 2}, "y": 3})
+    assert row.is_valid and row.value.value == "w" and {k: str(v) for k, v in row.extras.items()} == {"x": '{"a":1,"b":2}', "y": "3"}
+    map_patch = patched(spark, BAGS, {"sizes": {"a": 1.0}}, {"sizes": {"b": 2}})
+    assert map_patch.value.sizes == {"a": 1.0, "b": 2.0}
+
+
+def test_messages_of_patches(spark):
+    row = patched(spark, TICKET, {"title": 3}, {"trackingId": "x", "zz": 1})
+    assert [v.message for v in row.violations] == ["Unknown field 'zz'", "'trackingId' is reserved and cannot be set", "'title' in current record has an unexpected type"]
+    row = patched(spark, USER, {"id": 1, "name": "A"}, {"id": 2, "name": 4})
+    assert [v.message for v in row.violations] == ["'id' is immutable and cannot be changed", "'name' has an incorrect type"]
