@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -73,10 +74,20 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
     Its cleaner acts when the driver's garbage is collected, which a long job
-    with large shuffles cannot wait for.
+    with large shuffles cannot wait for.  The first round frees what Python held,
+    the second what that held in the JVM.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+        time.sleep(0.5)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that read them are lost."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    at = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
 
 
 def arrow_map(
