@@ -50,6 +50,8 @@ HEAVY, CHUNK_ROWS = 500, 20_000
 #: Anchors a task collects before it writes them out, and rows it gives out at once.
 FLUSH, ROWS_OUT = 500_000, 50_000
 LOW = np.uint64((1 << LOW_BITS) - 1)
+#: Kinds of runs: of anchors in few texts, in many, and those settled within a batch.
+FEW, MANY, KNOWN = 0, 1, 2
 
 
 def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -194,25 +196,27 @@ def compressed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def run_rows(texts: DataFrame, bits: int) -> DataFrame:
-    """The runs of ``(id, text, z, light, heavy)`` whose anchors are listed: ``anchor, d, heavy, id, text, at, size, held``.
+    """The runs of ``(id, text, z, light, heavy)`` whose anchors are listed: ``kind, anchor, d, id, text, at, size, held``.
 
-    ``at`` is the first window's place and ``held`` the bytes of all its windows;
-    it is null where a batch has the same run in a document of smaller id.
+    ``at`` is the first window's place and ``held`` the bytes of all its windows.
+    Where a batch has the same run in a document of smaller id, the later one goes
+    whole, which needs no comparison: its ``kind`` is ``KNOWN`` and its bytes stay.
     """
 
-    names = ["anchor", "d", "heavy", "id", "text", "at", "size", "held"]
+    names = ["kind", "anchor", "d", "id", "text", "at", "size", "held"]
 
     def given(anchors: list[np.ndarray], digest: list[np.ndarray], high: list[np.ndarray], rows: list[int], at: list[np.ndarray], held: list[bytes], batch: pa.RecordBatch) -> pa.RecordBatch:
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
         who = np.repeat(rows, [len(a) for a in at]).astype(np.int64)
         ids, anchor, d = batch.column(0).to_numpy(zero_copy_only=False)[who], join(anchors, np.int64), join(digest, np.uint64).view(np.int64)
-        # Only the least id of equal runs can be asked for its bytes.
         order = np.lexsort((ids, d, anchor))
         new = np.concatenate([np.ones(min(1, len(order)), bool), (anchor[order][1:] != anchor[order][:-1]) | (d[order][1:] != d[order][:-1])])
         needed = np.zeros(len(order), bool)
         needed[order] = ids[order] == ids[order[new]][np.cumsum(new) - 1]
+        kind = np.where(needed, np.where(join(high, bool), MANY, FEW), KNOWN).astype(np.int32)
         kept = pa.array([h if n else None for h, n in zip(held, needed.tolist(), strict=True)], pa.binary())
-        cols = [pa.array(anchor), pa.array(d), pa.array(join(high, bool)), pa.array(ids), batch.column(1).take(pa.array(who)), pa.array(join(at, np.int64)), pa.array([len(h) for h in held], pa.int32()), kept]
+        size = pa.array([len(h) for h in held], pa.int32())
+        cols = [pa.array(kind), pa.array(anchor * needed), pa.array(d * needed), pa.array(ids), batch.column(1).take(pa.array(who)), pa.array(join(at, np.int64)), size, kept]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +240,7 @@ def run_rows(texts: DataFrame, bits: int) -> DataFrame:
                     anchors, digest, high, rows, at, held = [], [], [], [], [], []
             yield given(anchors, digest, high, rows, at, held, batch)
 
-    return arrow_map(texts, ["id", "text", "z", "light", "heavy"], run, "anchor long, d long, heavy boolean, id long, text long, at long, size int, held binary")
+    return arrow_map(texts, ["id", "text", "z", "light", "heavy"], run, "kind int, anchor long, d long, id long, text long, at long, size int, held binary")
 
 
 def _windows(held: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,7 +300,8 @@ def _settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 def gathered(rows: DataFrame) -> DataFrame:
     """Intervals ``(id, text, s, e)`` to remove, from runs brought together by anchor.
 
-    Runs of heavy anchors are dealt out by id instead and come back as they are:
+    Runs of heavy anchors, and known ones, are dealt out by id instead.  The former come
+    back as they are:
     with ``anchor``, ``d`` and ``held``, and ``e - s`` their size.
     """
 
@@ -304,18 +309,20 @@ def gathered(rows: DataFrame) -> DataFrame:
         none = [pa.nulls(found.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary())]
         return pa.RecordBatch.from_arrays([*found.columns, *none], names=out)
 
-    def whole(heavy: pa.RecordBatch) -> pa.RecordBatch:
-        at = heavy.column("at")
-        cols = [heavy.column("id"), heavy.column("text"), at, pc.add(at, heavy.column("size").cast(pa.int64())), *(heavy.column(c) for c in ("anchor", "d", "held"))]
+    def passed(rows: pa.RecordBatch) -> pa.RecordBatch:
+        at, many = rows.column("at"), pc.equal(rows.column("kind"), MANY)
+        only = lambda c: pc.if_else(many, rows.column(c), pa.scalar(None, rows.column(c).type))
+        cols = [rows.column("id"), rows.column("text"), at, pc.add(at, rows.column("size").cast(pa.int64())), only("anchor"), only("d"), rows.column("held")]
         return pa.RecordBatch.from_arrays(cols, names=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
-            light = batch.filter(pc.invert(batch.column("heavy")))
+            few = pc.equal(batch.column("kind"), FEW)
+            light = batch.filter(few)
             if light.num_rows < batch.num_rows:
-                yield whole(batch.filter(batch.column("heavy")))
+                yield passed(batch.filter(pc.invert(few)))
             waiting.append(light)
             count += light.num_rows
             if count < CHUNK_ROWS:
@@ -331,9 +338,9 @@ def gathered(rows: DataFrame) -> DataFrame:
         if sum(b.num_rows for b in waiting):
             yield from map(plain, _settled(pa.Table.from_batches(waiting)))
 
-    names, out = ["heavy", "anchor", "d", "id", "text", "at", "size", "held"], ["id", "text", "s", "e", "anchor", "d", "held"]
-    salted = rows.select(*names, F.when(F.col("heavy"), F.pmod(F.xxhash64("id", "at"), F.lit(1 << 20))).otherwise(0).alias("salt"))
-    placed = salted.repartition("anchor", "salt").sortWithinPartitions("heavy", "anchor", "id")
+    names, out = ["kind", "anchor", "d", "id", "text", "at", "size", "held"], ["id", "text", "s", "e", "anchor", "d", "held"]
+    salted = rows.select(*names, F.when(F.col("kind") != FEW, F.pmod(F.xxhash64("id", "at"), F.lit(1 << 20))).otherwise(0).alias("salt"))
+    placed = salted.repartition("anchor", "salt").sortWithinPartitions("kind", "anchor", "id")
     return arrow_map(placed, names, run, "id long, text long, s long, e long, anchor long, d long, held binary")
 
 
