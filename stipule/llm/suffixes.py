@@ -2,6 +2,7 @@
 
 All of this concerns strings of ``LENGTH`` bytes: windows.  Each window has an
 anchor, the least hashed ``GRAM``-byte string within it, leftmost if repeated.
+``GRAM`` is long enough that common phrases seldom make an anchor frequent.
 The anchor depends on the window's bytes alone, so equal windows have equal
 anchors wherever they occur; neighbouring windows mostly share theirs and form a
 run.
@@ -15,7 +16,7 @@ import numpy as np
 
 from stipule.llm.sketch import MIX, mixed
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Windows looked at together in one text.
 STRIDE = 1 << 19
 
@@ -38,7 +39,9 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 def _piece(data: np.ndarray) -> Runs:
     v = words_at(data)
-    gram = mixed(v[:-8] * MIX[0] + mixed(v[8:]))
+    gram = np.zeros(len(data) - GRAM + 1, np.uint64)
+    for o in range(0, GRAM, 8):
+        gram = mixed(gram * MIX[0] + v[o : o + len(gram)])
     # Low bits hold the place, so the least value names the leftmost least gram.
     least = (gram & ~np.uint64((1 << 20) - 1)) | np.arange(len(gram), dtype=np.uint64)
     width, span = LENGTH - GRAM + 1, 1
