@@ -63,8 +63,9 @@ def clean_struct(c: Column, kind: T.DataType, contract: Contract) -> Column:
 def sanitize_raw(record: Column, contract: Contract, tagged: bool = True) -> Column:
     """The same for VARIANT records: keys are judged where present, even when null.
 
-    ``tagged`` also cleans the branches of tagged unions; without it their
-    sensitive members pass through, as they do in other implementations.
+    ``tagged`` also cleans the branches of tagged unions, and a value whose tag
+    names no branch by all of them; without it their sensitive members pass
+    through, as they do in other implementations.
     """
     hidden = [f.name for f in contract.fields if f.internal]
     kept = F.map_filter(as_map(record), lambda k, _: ~k.isin(*hidden)) if hidden else as_map(record)
@@ -92,15 +93,20 @@ def _raw(v: Column, f: Field, tagged: bool) -> Column | None:
         return None
     sides = (("left", kind.left.core(), kind.left_tag), ("right", kind.right.core(), kind.right_tag))
     out = v
+    if kind.key is not None and tagged:
+        # A tag of no branch does not tell which members are sensitive, so those of every branch count.
+        for _, branch, _ in sides:
+            out = sanitize_raw(out, branch.contract, tagged) if isinstance(branch, D.Nested) else out
+        out = F.when(value.is_object(), out).otherwise(v)
     for side, branch, tag in sides:
-        if not isinstance(branch, D.Nested):
+        if kind.key is None and not isinstance(branch, D.Nested):
             continue
         if kind.key is None:
             inner = value.member(side)
             out = F.when(~inner.absent, _side_cleaned(v, side, branch.contract, tagged)).otherwise(out)
         elif tagged:
             is_side = F.coalesce(value.member(kind.key).scalar(D.String, False).value == tag, F.lit(False))
-            out = F.when(is_side, sanitize_raw(v, branch.contract, tagged)).otherwise(out)
+            out = F.when(is_side, sanitize_raw(v, branch.contract, tagged) if isinstance(branch, D.Nested) else v).otherwise(out)
     return out
 
 

@@ -363,6 +363,17 @@ def tagged_union_sanitized(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("event_id", F.to_json(sanitize_raw(F.col("raw"), PAID)).alias("json"))
 
 
+@_query(
+    "tagged_union_sanitized_all",
+    """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"by":{"amount":3,"kind":"card","number":"****"},"id":1}' WHEN 1 THEN '{"by":{"account":"a' || event_id || '","kind":"bank"},"id":1}'
+ WHEN 2 THEN '{"by":{"account":"a","kind":"cash"},"id":1}' ELSE '{"by":{"amount":3,"kind":"card"},"id":1}' END AS json FROM events""",
+)
+def tagged_union_sanitized_all(spark: SparkSession, sf: str) -> DataFrame:
+    df = _read(spark, sf, "events").select("event_id", F.parse_json(F.expr(PAID_TEXT)).alias("raw"))
+    return df.select("event_id", F.to_json(sanitize_raw(F.col("raw"), PAID)).alias("json"))
+
+
 @_query(
     "plain_union",
     """

@@ -37,6 +37,14 @@ def test_tagged_unions_can_leak_on_request(spark):
     assert column(spark, sanitize_raw(F.col("raw"), c, tagged=False), record) == [record]
 
 
+def test_unknown_tags_hide_what_any_branch_hides(spark):
+    c = Contract.define("P", Field("p", Either(Nested(CARD), Nested(BANK), key="k", left_tag="c", right_tag="b")))  # noqa: F405
+    clean = {"p": {"amount": 2, "cardNumber": "****"}}
+    secret = {"cvv": "1", "amount": 2, "cardNumber": "9", "sortCode": "s"}
+    got = column(spark, sanitize_raw(F.col("raw"), c), {"p": {"k": "x", **secret}}, {"p": secret}, {"p": {"k": 3, **secret}}, {"p": "text"}, {"p": {"k": "b", "sortCode": "s", "amount": 2}})
+    assert got == [{"p": {"k": "x", **clean["p"]}}, clean, {"p": {"k": 3, **clean["p"]}}, {"p": "text"}, {"p": {"k": "b", "amount": 2}}]
+
+
 def test_sanitize_typed(spark):
     df = spark.createDataFrame([(1, "p", ("s", 2.0), 9), (2, None, None, 9)], "id long, password string, pay struct<cvv:string,amount:double>, extra int")
     c = Contract.define("C", *USER.declared, Field("pay", Nested(CARD)))  # noqa: F405
