@@ -14,8 +14,9 @@ from stipule.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; texts without letters, and null texts, go."""
-    return langid.accepted(docs, langid.fit(docs))
+    """Documents whose language is known; texts without letters, null texts, and texts scored near chance go."""
+    net = langid.fit(docs)
+    return langid.accepted(docs, net, least=langid.least_score(docs, net))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

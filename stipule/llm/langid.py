@@ -168,8 +168,8 @@ def _largest(x: np.ndarray) -> np.ndarray:
     return x[:, 0]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> Network:
-    """Train on a bounded, seeded sample of rows that are not held out.
+def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[dict[str, int], DataFrame]:
+    """Rows of each language, and a seeded sample of those that are not held out.
 
     One pass counts the languages; the next keeps rows by a hash threshold set
     for each language, so no language's rows are gathered or ranked.
@@ -177,15 +177,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_l")).where(
         F.col("_t").isNotNull() & F.col("_l").isNotNull() & (crc_mod("_id", HELD_MOD) != HELD)
     )
-    counts = usable.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGUAGES).collect()
+    counts = {r["_l"]: r["count"] for r in usable.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGUAGES).collect()}
     if not counts:
-        return Network((), np.zeros((0, 0)), np.zeros(0), ())
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["_l"], min(1.0, 1.2 * per_language / r["count"]))])
+        return counts, usable.withColumn("_p", F.lit(0.0)).limit(0)
+    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, 1.2 * per_language / n))])
     place = F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1 << 30)) / float(1 << 30)
+    return counts, usable.withColumn("_p", place).where(F.col("_p") < F.element_at(share, F.col("_l")))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> Network:
+    """Train on a bounded, seeded sample of rows that are not held out."""
+    counts, sampled = _sampled(docs, id_col, text_col, lang_col, per_language)
+    if not counts:
+        return Network((), np.zeros((0, 0)), np.zeros(0), ())
     middle = F.greatest(F.lit(1), (F.length("_t") / 2).cast("int"))
     rows = (
-        usable.where(place < F.element_at(share, F.col("_l")))
-        .select("_id", "_l", place.alias("_p"), F.array(F.substring("_t", 1, SLICE), F.substring(F.col("_t"), middle, F.lit(SLICE))).alias("_s"))
+        sampled.select("_id", "_l", "_p", F.array(F.substring("_t", 1, SLICE), F.substring(F.col("_t"), middle, F.lit(SLICE))).alias("_s"))
         .collect()  # at most about 1.2 * per_language * MAX_LANGUAGES slices
     )
     texts, names, had = [], [], {}
@@ -198,6 +205,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(texts, names)
 
 
+def least_score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> float:
+    """Half-way between chance and the lowest score of a whole labelled text of the training sample.
+
+    Held-out rows have no part in it.  With one language scores say nothing, and it is 0.
+    """
+    if len(net.languages) < 2:
+        return 0.0
+    _, rows = _sampled(docs, id_col, text_col, lang_col, per_language)
+    scored = predicted(rows, net, "_id", "_t").where(F.col("lang_pred") != UNKNOWN)
+    lowest = scored.agg(F.min("score")).first()[0]
+    chance = 1 / len(net.languages)
+    return 0.0 if lowest is None else (chance + lowest) / 2
+
+
 def predicted(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language and score of every whole text."""
 

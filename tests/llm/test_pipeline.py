@@ -54,3 +54,16 @@ def test_every_query_runs(spark):
     for name, query in QUERIES.items():
         rows = query(spark, SF).count()
         assert rows == n or name in ("op4_mixing", "op5_packing", "op7_neighbours"), name
+
+
+def test_texts_with_letters_but_no_language_go(spark, docs):
+    junk = spark.createDataFrame([(10**9, "z" * 300)], "doc_id long, text string")
+    more = docs.unionByName(junk, allowMissingColumns=True)
+    kept = {r.doc_id for r in pipeline.language_id(spark, more, SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
+
+
+def test_least_score_of_few_languages(spark, empty):
+    one = spark.createDataFrame([(k, "some words of one language", "en") for k in range(9)], "doc_id long, text string, lang string")
+    assert langid.least_score(one, langid.fit(one)) == 0.0 == langid.least_score(empty, langid.fit(empty))
+    assert pipeline.language_id(spark, one, SF).count() == 9
