@@ -42,18 +42,19 @@ difference_delta = right_difference
 def deep_merge(base: Column, delta: Column, depth: int = 4) -> Column:
     """``delta`` over ``base``: records merge, anything else is replaced, other base keys stay.
 
-    Spark expressions cannot recurse, so records merge ``depth`` levels deep and
-    are replaced below that.
+    Spark expressions cannot recurse, so records merge ``depth`` levels deep.
+    Where both sides have records below that, the query fails, as replacing them
+    would lose keys of ``base``; a greater ``depth`` (``Options.depth``) merges them.
     """
     old, new = as_map(base), as_map(delta)
     kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
 
     def entry(k: Column, v: Column) -> Column:
         before = F.try_element_at(old, k)
-        return F.when(is_record(before) & is_record(v), deep_merge(before, v, depth - 1)).otherwise(v)
+        deeper = deep_merge(before, v, depth - 1) if depth > 1 else F.raise_error(F.lit("deep_merge: records on both sides nest deeper than its depth; raise it")).cast("variant")
+        return F.when(is_record(before) & is_record(v), deeper).otherwise(v)
 
-    over = F.transform_values(new, entry) if depth > 1 else new
-    return as_record(F.map_concat(kept, over))
+    return as_record(F.map_concat(kept, F.transform_values(new, entry)))
 
 
 def extra_fields(v: Column, declared: Sequence[str]) -> Column:

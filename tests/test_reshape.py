@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from helpers import codes, raw_df
 from models import *  # noqa: F403
 from pyspark.sql import functions as F
@@ -93,6 +94,16 @@ def test_deltas(spark):
     assert [json.loads(x) if isinstance(x, str) else x for x in got] == [{"b": {"c": 2}, "e": None}, {"b": {"c": 2}, "e": None}, {"a": 1, "b": {"c": 2}, "d": 2, "e": None}, ["e"], {"a": 1, "b": {"c": 2}}]
 
 
+def test_deep_merge_never_drops_what_lies_too_deep(spark):
+    df = raw_df(spark, {"a": {"b": {"c": {"d": {"e": 1, "f": 2}, "g": 5}}}})
+    delta = F.parse_json(F.lit('{"a": {"b": {"c": {"d": {"e": 3}}}}}'))
+    with pytest.raises(Exception, match="nest deeper"):
+        df.select(F.to_json(deep_merge(F.col("raw"), delta))).collect()
+    assert column(spark, deep_merge(F.col("raw"), delta, 5), {"a": {"b": {"c": {"d": {"e": 1, "f": 2}}}}}) == [{"a": {"b": {"c": {"d": {"e": 3, "f": 2}}}}}]
+    flat = F.parse_json(F.lit('{"a": {"b": {"c": {"d": 7}}}}'))
+    assert column(spark, deep_merge(F.col("raw"), flat), {"a": {"b": {"c": {"d": {"e": 1}, "g": 5}}}}) == [{"a": {"b": {"c": {"d": 7, "g": 5}}}}]
+
+
 def test_patches(spark):
     patch = Patch.empty(USER).modify("age", lambda c: c + 1).modify("email", lambda c: F.upper(c)).set("name", "B").unset("password")
     assert patch.size() == 4 and patch.to_raw() == {"name": "B", "password": None} and Patch.from_raw({"z": 1}).put_all({"y": 2}).to_map() == {"z": 1, "y": 2}
