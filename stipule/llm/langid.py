@@ -9,6 +9,8 @@ logits are the mean of theirs, weighted by their bytes.
 
 The network is trained in numpy with Adam on at most ``per_language`` texts of
 each language (at most ``MAX_LANGUAGES``), picked by a seeded hash of the id.
+Of each it learns from two slices only, at the start and the middle, each of at
+most ``SLICE`` characters cut to ``WINDOW`` bytes; prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without any labelled text everything is ``und``; rows with a null language or id
