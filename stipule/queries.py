@@ -596,6 +596,14 @@ def patch_latest(spark: SparkSession, sf: str) -> DataFrame:
     return patch_join(known, patches, c, "c_custkey", order="n").select("c_custkey", "value.c_acctbal")
 
 
+@_query("patch_latest_all", "SELECT c_custkey, COALESCE(CAST(max(o_orderkey) AS DOUBLE), c_acctbal) AS c_acctbal FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, customer.c_acctbal")
+def patch_latest_all(spark: SparkSession, sf: str) -> DataFrame:
+    c = Contract.define("C", Field("c_custkey", Long), Field("c_acctbal", Double), open=True)
+    made = F.parse_json(F.concat(F.lit('{"c_acctbal": '), F.col("o_orderkey").cast("string"), F.lit("}")))
+    patches = _read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), made.alias("patch"), F.col("o_orderkey").alias("n"))
+    return patch_join(_customers(spark, sf), patches, c, "c_custkey", order="n").select("c_custkey", "value.c_acctbal")
+
+
 @_query("patch_applied", "SELECT c_custkey, upper(c_mktsegment) || '!' AS c_mktsegment, (upper(c_mktsegment) || '!') SIMILAR TO '[A-M].*' AS is_valid FROM customer")
 def patch_applied(spark: SparkSession, sf: str) -> DataFrame:
     patch = Patch.empty(CUSTOMER).modify("c_mktsegment", lambda c: F.concat(F.upper(c), F.lit("!"))).set("c_nationkey", 3)
