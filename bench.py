@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stipule import queries as q
 from stipule.operators.reshape import sanitize, sanitize_json
 from stipule.operators.updates import patch_join
-from stipule.operators.validate import validate, validity_of
+from stipule.operators.validate import validate, with_validity
 from stipule.plans.filters import Filter, matching
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -48,7 +48,7 @@ def cases(spark: SparkSession) -> dict[str, DataFrame]:
     return {
         "scan_control": lineitem.select(*used),
         "validate_lineitem": validate(lineitem.select(*used), q.LINEITEM).select("is_valid", "violations"),
-        "validity_lineitem": lineitem.select(*used, validity_of(lineitem, q.LINEITEM).alias("ok")),
+        "validity_lineitem": with_validity(lineitem.select(*used), q.LINEITEM),
         "validate_customer": validate(customer, q.CUSTOMER),
         "validate_raw_events": validate(q._raw_events(spark, SF), q.PROPS, "raw"),  # noqa: SLF001
         "filter_lineitem": matching(lineitem, fine).select("l_orderkey", "l_linenumber"),

@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stipule.functions.text import full_match, utf16_length
+from stipule.functions import sql
+from stipule.functions.scopes import Scope
 from stipule.plans import types as D
 from stipule.plans.contract import Field
 
@@ -20,11 +21,11 @@ ROUND_LIMIT = 9.3e18
 
 
 class Constraint(NamedTuple):
-    """A violated constraint: its name, where it fails, and the message."""
+    """A violated constraint: its name, where it fails, and the message, as texts."""
 
     name: str
-    fails: Column
-    message: Column
+    fails: str
+    message: str
 
 
 def no_whitespace(c: Column) -> Column:
@@ -33,13 +34,12 @@ def no_whitespace(c: Column) -> Column:
     return F.when(c.rlike(r"(?U)\s"), F.array(found)).otherwise(F.array().cast("array<string>"))
 
 
-def now_millis() -> Column:
-    """The clock of the query."""
-    return F.unix_millis(F.current_timestamp())
+def _clock(at: Scope, now: Column | None) -> str:
+    return "unix_millis(current_timestamp())" if now is None else at.apply(lambda: now, key=f"clock {id(now)}")
 
 
-def constraints(f: Field, c: Column, now: Column | None = None, strict_reference: bool = False) -> list[Constraint]:
-    """The constraints that apply to a decoded, non-null value of the field's type.
+def constraints(at: Scope, f: Field, c: str, now: Column | None = None, strict_reference: bool = False) -> list[Constraint]:
+    """The constraints that apply to a decoded value of the field's type; none fails where it is NULL.
 
     A constraint on a type that it does not know is ignored.  Under
     ``strict_reference``, string constraints on an optional newtype are too.
@@ -47,44 +47,46 @@ def constraints(f: Field, c: Column, now: Column | None = None, strict_reference
     kind, name = f.type.core(), f.name
     text = kind == D.String and not (strict_reference and f.optional and isinstance(f.type, D.Wrapper))
     number, epoch = kind in D.NUMERIC, kind in D.EPOCH
-    x = c.cast("double") if number else c
-    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in (f"'{name}' ", *parts)])
-    got = lambda v: (v.cast("string"), ")")
+    x = c if kind == D.Double else f"CAST({c} AS DOUBLE)"
     out: list[Constraint] = []
-    add = lambda n, fails, *message: out.append(Constraint(n, F.coalesce(fails, F.lit(False)), say(*message)))
+
+    # The texts of the messages.
+    def add(code: str, fails: str, message: str, got: str | None = None) -> None:
+        shown = sql.text(f"'{name}' {message}")
+        out.append(Constraint(code, f"coalesce({fails}, FALSE)", shown if got is None else f"concat({shown}, CAST({got} AS STRING), ')')"))
+
     if f.non_empty and text:
-        add("nonEmpty", c == "", "must not be empty")
+        add("nonEmpty", f"{c} = ''", "must not be empty")
     elif f.non_empty and isinstance(kind, (D.ListOf, D.MapOf)):
-        add("nonEmpty", F.size(c) == 0, "must not be empty")
+        add("nonEmpty", f"size({c}) = 0", "must not be empty")
     if text:
+        units = f"CAST(octet_length(encode({c}, 'UTF-16BE')) / 2 AS INT)"
+        # Cheaper lengths that bound the UTF-16 one decide most rows.
         if f.min_length is not None:
-            # Cheaper lengths that bound the UTF-16 one decide most rows.
-            add("minLength", (F.length(c) < f.min_length) & (utf16_length(c) < f.min_length), f"must be at least {f.min_length} characters (got ", *got(utf16_length(c)))
+            add("minLength", f"char_length({c}) < {f.min_length} AND {units} < {f.min_length}", f"must be at least {f.min_length} characters (got ", units)
         if f.max_length is not None:
-            add("maxLength", (F.octet_length(c) > f.max_length) & (utf16_length(c) > f.max_length), f"must be at most {f.max_length} characters (got ", *got(utf16_length(c)))
+            add("maxLength", f"octet_length({c}) > {f.max_length} AND {units} > {f.max_length}", f"must be at most {f.max_length} characters (got ", units)
     if number:
         if f.min is not None:
-            add("min", x < float(f.min), f"must be >= {f.min} (got ", *got(x))
+            add("min", f"{x} < {sql.double(f.min)}", f"must be >= {f.min} (got ", x)
         if f.max is not None:
-            add("max", (x > float(f.max)) & ~F.isnan(x), f"must be <= {f.max} (got ", *got(x))
+            add("max", f"{x} > {sql.double(f.max)} AND NOT isnan({x})", f"must be <= {f.max} (got ", x)
     if text:
         if f.pattern is not None:
-            add("pattern", ~full_match(c, f.pattern), "does not match required pattern")
+            add("pattern", f"NOT {sql.full_match(c, f.pattern)}", "does not match required pattern")
         if f.extract is not None:
-            add("extract", ~full_match(c, f.extract), "does not match required format")
+            add("extract", f"NOT {sql.full_match(c, f.extract)}", "does not match required format")
         for on, code, regex, what in ((f.email, "email", EMAIL, "email address"), (f.url, "url", URL, "URL"), (f.uuid, "uuid", UUID, "UUID")):
             if on:
-                add(code, ~full_match(c, regex), f"is not a valid {what}")
-    if epoch and (f.future or f.past):
-        clock = now if now is not None else now_millis()
-        if f.future:
-            add("future", c <= clock, "must be a future timestamp (got ", *got(c))
-        if f.past:
-            add("past", c >= clock, "must be a past timestamp (got ", *got(c))
+                add(code, f"NOT {sql.full_match(c, regex)}", f"is not a valid {what}")
+    if epoch and f.future:
+        add("future", f"{c} <= {_clock(at, now)}", "must be a future timestamp (got ", c)
+    if epoch and f.past:
+        add("past", f"{c} >= {_clock(at, now)}", "must be a past timestamp (got ", c)
     if number and f.positive:
-        add("positive", x <= 0, "must be positive (got ", *got(x))
+        add("positive", f"{x} <= {sql.double(0)}", "must be positive (got ", x)
     if number and f.multiple_of is not None:
-        ratio = x / F.lit(float(f.multiple_of))
-        off = ((F.abs(ratio - F.round(ratio)) > 1e-7) | (F.abs(ratio) > ROUND_LIMIT)) & ~F.isnan(ratio)
-        add("multipleOf", off, f"must be a multiple of {D.java_double(f.multiple_of)} (got ", *got(x))
+        ratio = f"({x} / {sql.double(f.multiple_of)})"
+        off = f"(abs({ratio} - round({ratio})) > {sql.double(1e-7)} OR abs({ratio}) > {sql.double(ROUND_LIMIT)}) AND NOT isnan({ratio})"
+        add("multipleOf", off, f"must be a multiple of {D.java_double(f.multiple_of)} (got ", x)
     return out

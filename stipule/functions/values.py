@@ -1,71 +1,62 @@
 """What a record gives a field: raw VARIANT members or typed columns, and strict decoding.
 
 A VARIANT cast converts far more than the contract's decoders allow, so every
-decode is guarded by the kind of the value.  All of it is Column expressions.
+decode is guarded by the kind of the value.  All of it is SQL text, evaluated in
+a scope that names what is used more than once.
 """
 
 from __future__ import annotations
 
-import json
-from typing import NamedTuple
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stipule.functions.text import full_match
+from stipule.functions import sql
+from stipule.functions.scopes import Elements, Inline, Scope
 from stipule.plans import types as D
 from stipule.plans.contract import Contract, Field
 
 INTEGER_TEXT = r"[+-]?[0-9]+"
 NUMBER_TEXT = r"[\x00-\x20]*[+-]?(?:NaN|Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[fFdD]?)[\x00-\x20]*"
 DECIMAL_TEXT = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+#: Kinds that are worth describing whole only where a message names them.
+HEAVY = (D.Nested, D.ListOf, D.MapOf, D.Either, D.Custom)
+Path = tuple[str, ...]
 
 
-def yes() -> Column:
-    """Always."""
-    return F.lit(True)
-
-
-def no() -> Column:
-    """Never."""
-    return F.lit(False)
-
-
-class Decoded(NamedTuple):
-    """Whether a value decodes, and its value (NULL where it does not).
+class Value:
+    """A member of a record: absent, null, or something with a kind.  ``path`` is where it is, as texts.
 
-    ``total`` tells that every value of the column's type does.
+    All conditions are never NULL.
     """
 
-    ok: Column
-    value: Column
-    total: bool = False
+    path: Path = ()
+    #: Whether a null differs from an absent value.
+    explicit = True
 
+    def absent(self, at: Scope) -> str:
+        raise NotImplementedError
 
-class Value:
-    """A member of a record: absent, null, or something with a kind."""
-
-    absent: Column
-    null: Column
+    def null(self, at: Scope) -> str:
+        """Whether the value is an explicit null."""
+        raise NotImplementedError
 
-    def kind_text(self) -> Column:
+    def kind_text(self) -> str:
         """The kind of the value, for messages."""
         raise NotImplementedError
 
-    def is_object(self) -> Column:
+    def is_object(self, at: Scope) -> str:
         """Whether the value is a record."""
         raise NotImplementedError
 
-    def is_array(self) -> Column:
-        """Whether the value is a list."""
-        raise NotImplementedError
-
-    def member(self, name: str) -> Value:
+    def member(self, name: str, heavy: bool = False) -> Value:
         """A member of a record."""
         raise NotImplementedError
 
-    def keys(self) -> Column:
+    def keys(self, at: Scope) -> str:
         """The keys of a record that are present."""
         raise NotImplementedError
 
@@ -73,153 +64,168 @@ class Value:
         """The keys, where they are the same for every row."""
         return None
 
-    def elements(self) -> Column:
-        """The elements of a list."""
+    def elements(self) -> str | None:
+        """The elements of a list: NULL where the value is none, None where it never is one."""
+        raise NotImplementedError
+
+    def element(self, x: str, path: Path = ()) -> Value:
+        """One of :meth:`elements`."""
+        raise NotImplementedError
+
+    def entries(self) -> str | None:
+        """The members of a record as a map, like :meth:`elements`."""
         raise NotImplementedError
 
-    def element(self, x: Column) -> Value:
-        """One of :meth:`elements`, inside a lambda."""
+    def entry(self, x: str) -> Value:
+        """A value of :meth:`entries`."""
         raise NotImplementedError
 
-    def scalar(self, kind: D.Scalar, jvm: bool) -> Decoded:
-        """Decode a primitive."""
+    def scalar(self, at: Scope, kind: D.Scalar, jvm: bool) -> str:
+        """Decode a primitive; NULL where it does not decode."""
         raise NotImplementedError
 
-    def whole(self) -> Column:
-        """The value as a column for custom decoders."""
+    def whole(self) -> str:
+        """The value as it is, for custom decoders."""
         raise NotImplementedError
 
 
-def _numbers_from_text(text: Column, kind: D.Scalar) -> Column:
+def _numbers_from_text(c: str, kind: D.Scalar) -> str:
     """A number from text, NULL where the text is none."""
-    if kind in (D.Int, D.Long):
-        return F.when(full_match(text, INTEGER_TEXT), text.try_cast(kind.type))
-    if kind == D.BigInt:
-        return F.when(full_match(text, "-?[0-9]+"), text.try_cast(kind.type))
-    if kind == D.BigDecimal:
-        return F.when(full_match(text, DECIMAL_TEXT), text.try_cast(kind.type))
-    bare = F.regexp_replace(F.trim(text), r"(?<=[0-9.])[fFdD]$", "")
-    return F.when(full_match(text, NUMBER_TEXT), bare.try_cast(kind.type))
+    cast = lambda x: f"try_cast({x} AS {kind.type.simpleString()})"
+    pattern = INTEGER_TEXT if kind in (D.Int, D.Long) else "-?[0-9]+" if kind == D.BigInt else DECIMAL_TEXT if kind == D.BigDecimal else NUMBER_TEXT
+    bare = c if kind not in (D.Float, D.Double) else f"regexp_replace(trim({c}), {sql.text('(?<=[0-9.])[fFdD]$')}, '')"
+    return f"CASE WHEN {sql.full_match(c, pattern)} THEN {cast(bare)} END"
 
 
 class VariantValue(Value):
-    """A VARIANT: SQL NULL is absent, a JSON null is null."""
+    """A VARIANT, or a member of one by its path: SQL NULL is absent, a JSON null is null."""
 
-    def __init__(self, v: Column) -> None:
-        self.v = v
-        self.absent = v.isNull()
-        self.null = F.coalesce(F.is_variant_null(v), no())
+    def __init__(self, root: str, steps: str = "$", path: Path = (), heavy: bool = True) -> None:
+        self.root, self.steps, self.path, self.heavy = root, steps, path, heavy
 
-    @classmethod
-    def key(cls, v: Column, name: str) -> VariantValue:
-        """A member of a VARIANT record by its exact name."""
-        quoted = json.dumps(name, ensure_ascii=False) if "'" in name else f"'{name}'"
-        return cls(F.try_variant_get(v, f"$[{quoted}]", "variant"))
+    def get(self, kind: str) -> str:
+        """The value converted to a type, or NULL."""
+        if kind == "variant" and self.steps == "$":
+            return self.root
+        return f"try_variant_get({self.root}, {sql.text(self.steps)}, '{kind}')"
 
-    def kind(self) -> Column:
-        return F.coalesce(F.regexp_extract(F.schema_of_variant(self.v), "^[A-Z]+", 0), F.lit(""))
+    def schema(self, at: Scope) -> str:
+        """The type that the value describes itself with; NULL if it is absent."""
+        return at.keep(f"schema_of_variant({self.get('variant')})")
 
-    def kind_text(self) -> Column:
-        return F.when(self.null, F.lit("null")).otherwise(self.kind())
+    def absent(self, at: Scope) -> str:
+        return f"({self.get('variant')} IS NULL)" if self.heavy else f"({self.schema(at)} IS NULL)"
 
-    def is_object(self) -> Column:
-        return self.kind() == "OBJECT"
+    def null(self, at: Scope) -> str:
+        return f"coalesce(is_variant_null({self.get('variant')}), FALSE)" if self.heavy else f"({self.schema(at)} <=> 'VOID')"
 
-    def is_array(self) -> Column:
-        return self.kind() == "ARRAY"
+    def kind_text(self) -> str:
+        held = self.get("variant")
+        return f"coalesce(CASE WHEN is_variant_null({held}) THEN 'null' ELSE regexp_extract(schema_of_variant({held}), {sql.text('^[A-Z]+')}, 0) END, 'null')"
 
-    def member(self, name: str) -> Value:
-        return VariantValue.key(self.v, name)
+    def is_object(self, at: Scope) -> str:
+        return f"({self.keys(at)} IS NOT NULL)"
 
-    def keys(self) -> Column:
-        return F.map_keys(F.try_variant_get(self.v, "$", "map<string,variant>"))
+    def member(self, name: str, heavy: bool = False) -> Value:
+        plain = re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name)
+        step = f".{name}" if plain else f"['{name}']" if "'" not in name else f'["{name}"]'
+        return VariantValue(self.root, self.steps + step, (*self.path, sql.text(name)), heavy)
 
-    def elements(self) -> Column:
-        return F.try_variant_get(self.v, "$", "array<variant>")
+    def keys(self, at: Scope) -> str:
+        return at.keep(f"map_keys({self.entries()})")
 
-    def element(self, x: Column) -> Value:
+    def elements(self) -> str | None:
+        return self.get("array<variant>")
+
+    def element(self, x: str, path: Path = ()) -> Value:
+        return VariantValue(x, path=path)
+
+    def entries(self) -> str | None:
+        return self.get("map<string,variant>")
+
+    def entry(self, x: str) -> Value:
         return VariantValue(x)
 
-    def whole(self) -> Column:
-        return self.v
+    def whole(self) -> str:
+        return self.get("variant")
 
-    def scalar(self, kind: D.Scalar, jvm: bool) -> Decoded:
-        got = lambda t: F.try_variant_get(self.v, "$", t)
-        is_ = self.kind()
+    def scalar(self, at: Scope, kind: D.Scalar, jvm: bool) -> str:
+        got = lambda t: self.get(t)
+        schema = self.schema(at)
         if kind in (D.String, D.Boolean):
-            value = F.when(is_ == kind.name.upper(), got("string" if kind == D.String else "boolean"))
-            return Decoded(value.isNotNull(), value)
-        text = F.when(is_ == "STRING", got("string"))
+            return f"CASE WHEN {schema} = '{kind.name.upper()}' THEN {got(kind.type.simpleString())} END"
         if kind in (D.Int, D.Long):
-            value = F.when(is_ == "BIGINT", got("int" if kind == D.Int else "bigint"))
+            held = f"{schema} = 'BIGINT'"
         elif kind == D.BigInt:
-            whole = F.schema_of_variant(self.v).rlike(r"^DECIMAL\([0-9]+,0\)$")
-            value = F.when((is_ == "BIGINT") | whole, got("decimal(38,0)"))
+            held = f"{schema} = 'BIGINT' OR rlike({schema}, {sql.text('^DECIMAL.[0-9]+,0.$')})"
         else:
             kinds = ["DECIMAL", "DOUBLE", "FLOAT"] if jvm and kind == D.Float else ["DECIMAL", "DOUBLE", "BIGINT"] if kind == D.BigDecimal else ["DECIMAL", "DOUBLE", "FLOAT", "BIGINT"]
-            value = F.when(is_.isin(*kinds), got(kind.type.simpleString()))
+            held = " OR ".join(f"startswith({schema}, '{k}')" if k == "DECIMAL" else f"{schema} = '{k}'" for k in kinds)
+        out = f"CASE WHEN {held} THEN {got(kind.type.simpleString())}"
         if not jvm:
-            value = F.coalesce(value, _numbers_from_text(text, kind))
-        return Decoded(value.isNotNull(), value)
+            out += f" WHEN {schema} = 'STRING' THEN {_numbers_from_text(got('string'), kind)}"
+        return f"{out} END"
 
 
 class TypedValue(Value):
     """A column of a Spark type.  NULL is absent, or null where ``explicit``."""
 
-    def __init__(self, c: Column | None, kind: T.DataType | None, explicit: bool = False) -> None:
-        self.c, self.type, self.explicit = c, kind, explicit
-        gone = yes() if c is None else c.isNull()
-        self.absent = no() if explicit and c is not None else gone
-        self.null = gone if explicit and c is not None else no()
+    def __init__(self, c: str | None, kind: T.DataType | None, explicit: bool = False, path: Path = ()) -> None:
+        self.c, self.type, self.explicit, self.path = c, kind, explicit, path
+
+    def absent(self, at: Scope) -> str:
+        return "TRUE" if self.c is None else "FALSE" if self.explicit else f"({self.c} IS NULL)"
 
-    def kind_text(self) -> Column:
-        name = F.lit(self.type.typeName() if self.type is not None else "null")
-        return F.when(self.null, F.lit("null")).otherwise(name)
+    def null(self, at: Scope) -> str:
+        return "FALSE" if self.c is None or not self.explicit else f"({self.c} IS NULL)"
 
-    def is_object(self) -> Column:
-        return self.c.isNotNull() if isinstance(self.type, (T.StructType, T.MapType)) else no()
+    def kind_text(self) -> str:
+        kind = sql.text(self.type.typeName() if self.type is not None else "null")
+        return f"CASE WHEN {self.c} IS NULL THEN 'null' ELSE {kind} END" if self.explicit and self.c is not None else kind
 
-    def is_array(self) -> Column:
-        return self.c.isNotNull() if isinstance(self.type, T.ArrayType) else no()
+    def is_object(self, at: Scope) -> str:
+        return f"({self.c} IS NOT NULL)" if isinstance(self.type, (T.StructType, T.MapType, T.VariantType)) else "FALSE"
 
-    def member(self, name: str) -> Value:
+    def member(self, name: str, heavy: bool = False) -> Value:
+        path = (*self.path, sql.text(name))
         if isinstance(self.type, T.StructType):
             for f in self.type.fields:
                 if f.name == name:
-                    return TypedValue(self.c.getField(name), f.dataType, self.explicit)
+                    return TypedValue(f"{self.c}.{sql.name(name)}", f.dataType, self.explicit, path)
         if isinstance(self.type, T.MapType):
-            return TypedValue(F.try_element_at(self.c, F.lit(name)), self.type.valueType, self.explicit)
-        return TypedValue(None, None, self.explicit)
+            return TypedValue(f"try_element_at({self.c}, {sql.text(name)})", self.type.valueType, self.explicit, path)
+        return TypedValue(None, None, self.explicit, path)
 
-    def keys(self) -> Column:
-        if isinstance(self.type, T.StructType):
-            present = [F.when(self.c.getField(f.name).isNotNull() | F.lit(self.explicit), F.lit(f.name)) for f in self.type.fields]
-            return F.filter(F.array(*present), lambda k: k.isNotNull())
-        if isinstance(self.type, T.MapType):
-            return F.map_keys(self.c)
-        return F.array().cast("array<string>")
+    def keys(self, at: Scope) -> str:
+        return f"map_keys({self.c})" if isinstance(self.type, T.MapType) else sql.array([])
+
+    def elements(self) -> str | None:
+        return self.c if isinstance(self.type, T.ArrayType) else None
+
+    def element(self, x: str, path: Path = ()) -> Value:
+        return TypedValue(x, self.type.elementType, self.explicit, path)
+
+    def entries(self) -> str | None:
+        return self.c if isinstance(self.type, T.MapType) and isinstance(self.type.keyType, T.StringType) else None
 
-    def elements(self) -> Column:
-        return self.c if isinstance(self.type, T.ArrayType) else F.lit(None).cast("array<string>")
+    def entry(self, x: str) -> Value:
+        return TypedValue(x, self.type.valueType)
 
-    def element(self, x: Column) -> Value:
-        return TypedValue(x, self.type.elementType if isinstance(self.type, T.ArrayType) else T.StringType(), self.explicit)
+    def whole(self) -> str:
+        return self.c if self.c is not None else "NULL"
 
-    def whole(self) -> Column:
-        return self.c if self.c is not None else F.lit(None)
+    def is_total(self, kind: D.DeclaredType) -> bool:
+        """Whether every value that is there decodes, as itself."""
+        return self.c is not None and not self.explicit and isinstance(kind, D.Scalar) and self.type == kind.type
 
-    def scalar(self, kind: D.Scalar, jvm: bool) -> Decoded:
-        none = F.lit(None).cast(kind.type)
-        if self.c is None:
-            return Decoded(no(), none)
-        value = self._converted(kind, jvm)
-        return Decoded(no(), none) if value is None else Decoded(value.isNotNull(), value, value is self.c)
+    def scalar(self, at: Scope, kind: D.Scalar, jvm: bool) -> str:
+        return (self._converted(at, kind, jvm) if self.c is not None else None) or sql.null(kind.type)
 
-    def _converted(self, kind: D.Scalar, jvm: bool) -> Column | None:
+    def _converted(self, at: Scope, kind: D.Scalar, jvm: bool) -> str | None:
         c, held = self.c, self.type
-        whole = isinstance(held, (T.ByteType, T.ShortType, T.IntegerType))
+        cast = f"try_cast({c} AS {kind.type.simpleString()})"
         if isinstance(held, T.VariantType):
-            return VariantValue(c).scalar(kind, jvm).value
+            return VariantValue(c).scalar(at, kind, jvm)
         if isinstance(held, T.StringType):
             return c if kind == D.String else None if kind == D.Boolean or jvm else _numbers_from_text(c, kind)
         if isinstance(held, T.BooleanType):
@@ -228,133 +234,151 @@ class TypedValue(Value):
             return None
         if held == kind.type:
             return c
-        if whole or isinstance(held, T.LongType):
-            return None if jvm and kind == D.Float else c.try_cast(kind.type)
+        if isinstance(held, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return None if jvm and kind == D.Float else cast
         if isinstance(held, T.FloatType):
-            return c.try_cast(kind.type) if kind in (D.Float, D.Double) else None
+            return cast if kind in (D.Float, D.Double) else None
         if isinstance(held, T.DoubleType):
-            return c.try_cast(kind.type) if kind in (D.Float, D.Double, D.BigDecimal) else None
-        if isinstance(held, T.DecimalType):
-            return c.try_cast(kind.type) if kind == D.BigDecimal else None
-        return None
+            return cast if kind in (D.Float, D.Double, D.BigDecimal) else None
+        return cast if isinstance(held, T.DecimalType) and kind == D.BigDecimal else None
 
 
-def decode(value: Value, kind: D.DeclaredType, jvm: bool = False) -> Decoded:
-    """Decode a present, non-null value; a null one does not decode."""
+def decode(at: Scope, value: Value, kind: D.DeclaredType, jvm: bool = False) -> str:
+    """The decoded value: NULL where the value is absent, null, or does not decode."""
     kind = kind.core()
-    null = F.lit(None).cast(kind.spark())
     if isinstance(kind, D.Scalar):
-        return value.scalar(kind, jvm)
+        got = value.scalar(at, kind, jvm)
+        return got if isinstance(value, TypedValue) and got == value.c else at.keep(got)
     if isinstance(kind, D.Custom):
-        got = kind.decode(value.whole()).cast(kind.type)
-        return Decoded(got.isNotNull(), got)
+        held = at.keep(value.whole())
+        return at.apply(lambda c: kind.decode(c).cast(kind.type), held, key=f"custom {id(kind)} {held}")
     if isinstance(kind, D.Extract):
-        text = value.scalar(D.String, jvm).value
-        anchored = rf"\A(?:{kind.pattern})\z"
-        grouped = F.regexp_extract(text, "", 0)
-        parts = []
-        for i, (name, inner) in enumerate(kind.fields, start=1):
-            grouped = F.regexp_extract(text, anchored, i if _groups(kind.pattern) else 0)
-            parts.append((name, decode(TypedValue(grouped, T.StringType()), inner, jvm)))
-        ok = F.coalesce(text.rlike(anchored), no())
-        for _, part in parts:
-            ok = ok & part.ok
-        return Decoded(ok, F.when(ok, F.struct(*[p.value.alias(n) for n, p in parts])))
+        return _extracted(at, value, kind, jvm)
     if isinstance(kind, D.ListOf):
-        return _decode_list(value, kind, jvm)
+        return _decode_list(at, value, kind, jvm)
     if isinstance(kind, D.MapOf):
-        return _decode_map(value, kind, jvm)
+        return _decode_map(at, value, kind, jvm)
     if isinstance(kind, D.Either):
-        return _decode_either(value, kind, jvm)
+        return _decode_either(at, value, kind, jvm)
     if isinstance(kind, D.Nested):
-        ok = F.coalesce(value.is_object(), no())
-        return Decoded(ok, F.when(ok, construct(value, kind.contract, jvm)))
-    return Decoded(no(), null)
+        return at.keep(f"CASE WHEN {value.is_object(at)} THEN {construct(at, value, kind.contract, jvm)} END")
+    return sql.null(kind.spark())
 
 
-def _groups(pattern: str) -> int:
-    import re
+def _extracted(at: Scope, value: Value, kind: D.Extract, jvm: bool) -> str:
+    held = decode(at, value, D.String, jvm)
+    anchored = rf"\A(?:{kind.pattern})\z"
+    groups = re.compile(kind.pattern).groups
+    parts = []
+    for i, (name, inner) in enumerate(kind.fields, start=1):
+        group = at.keep(f"regexp_extract({held}, {sql.text(anchored)}, {i if groups else 0})")
+        parts.append((name, decode(at, TypedValue(group, T.StringType()), inner, jvm)))
+    ok = " AND ".join([f"rlike({held}, {sql.text(anchored)})", *(f"{p} IS NOT NULL" for _, p in parts)])
+    return at.keep(f"CASE WHEN {ok} THEN {sql.struct(parts)} END")
 
-    return re.compile(pattern).groups
 
+def _variable(at: Scope) -> str:
+    return at.variable() if not isinstance(at, Inline) else "x"
 
-def _decode_list(value: Value, kind: D.ListOf, jvm: bool) -> Decoded:
-    nested = isinstance(kind.item.core(), D.Nested)
-    inner = lambda x: decode(value.element(x), kind.item, jvm)
-    items = F.transform(value.elements(), lambda x: inner(x).value)
-    ok = F.coalesce(value.is_array(), no())
-    if not (jvm and nested):
-        ok = ok & F.coalesce(F.forall(value.elements(), lambda x: F.coalesce(inner(x).ok, no())), no())
-    items = F.array_distinct(items) if isinstance(kind, D.SetOf) else items
-    return Decoded(ok, F.when(ok, items.cast(kind.spark())))
 
+def _decode_list(at: Scope, value: Value, kind: D.ListOf, jvm: bool) -> str:
+    if (held := value.elements()) is None:
+        return sql.null(kind.spark())
+    return listed(at, _decode_each(at, held, value.element, kind.item, jvm), kind, jvm)
+
+
+def _decode_each(at: Scope, held: str, element: Callable[[str], Value], kind: D.DeclaredType, jvm: bool) -> str:
+    """The decoded elements of an array; NULL for those that do not decode."""
+    x = _variable(at)
+    if isinstance(at, Inline) or isinstance(kind.core(), D.Scalar):
+        return at.keep(f"transform({held}, {x} -> {decode(Inline(), element(x), kind, jvm)})")
+    scope = Elements(at, held)
+    column = scope.closed({"value": decode(scope, element(scope.element), kind, jvm)}) + at.index()
+    return at.keep(f"transform({column}, {x} -> {x}.value)")
 
-def _decode_map(value: Value, kind: D.MapOf, jvm: bool) -> Decoded:
-    if isinstance(value, VariantValue):
-        held = F.try_variant_get(value.v, "$", "map<string,variant>")
-        inner = lambda x: decode(VariantValue(x), kind.value, jvm)
-    elif isinstance(value, TypedValue) and isinstance(value.type, T.MapType) and isinstance(value.type.keyType, T.StringType):
-        held = value.c
-        inner = lambda x: decode(TypedValue(x, value.type.valueType), kind.value, jvm)
-    else:
-        return Decoded(no(), F.lit(None).cast(kind.spark()))
-    ok = F.coalesce(value.is_object(), no()) & F.coalesce(F.forall(F.map_values(held), lambda x: F.coalesce(inner(x).ok, no())), no())
-    return Decoded(ok, F.when(ok, F.transform_values(held, lambda _, x: inner(x).value).cast(kind.spark())))
 
+def listed(at: Scope, items: str, kind: D.ListOf, jvm: bool) -> str:
+    """A list from its decoded elements."""
+    shown = f"array_distinct({items})" if isinstance(kind, D.SetOf) else items
+    shown = f"CAST({shown} AS {sql.type_text(kind.spark())})"
+    if jvm and isinstance(kind.item.core(), D.Nested):
+        return at.keep(shown)
+    return at.keep(f"CASE WHEN NOT exists({items}, {(x := _variable(at))} -> {x} IS NULL) THEN {shown} END")
 
-def _decode_either(value: Value, kind: D.Either, jvm: bool) -> Decoded:
-    def branch(of: Value, inner: D.DeclaredType) -> Decoded:
-        got = decode(of, inner, jvm)
-        strict = decodes_whole(of, inner, jvm)
-        return Decoded(F.coalesce(got.ok & strict, no()), got.value)
+
+def _decode_map(at: Scope, value: Value, kind: D.MapOf, jvm: bool) -> str:
+    if (held := value.entries()) is None:
+        return sql.null(kind.spark())
+    x = _variable(at)
+    got = _decode_each(at, f"map_values({held})", value.entry, kind.value, jvm)
+    shown = f"CAST(map_from_arrays(map_keys({held}), {got}) AS {sql.type_text(kind.spark())})"
+    return at.keep(f"CASE WHEN NOT exists({got}, {x} -> {x} IS NULL) THEN {shown} END")
+
+
+def _decode_either(at: Scope, value: Value, kind: D.Either, jvm: bool) -> str:
+    def branch(of: Value, inner: D.DeclaredType) -> str:
+        got = decode(at, of, inner, jvm)
+        return at.keep(f"CASE WHEN {decodes_whole(at, of, inner, jvm)} THEN {got} END")
 
     if kind.key is None:
-        left, right = branch(value.member("left"), kind.left), branch(value.member("right"), kind.right)
-        is_left, is_right = left.ok, ~left.ok & right.ok
+        left, right = branch(value.member("left", True), kind.left), branch(value.member("right", True), kind.right)
+        is_left, is_right = f"{left} IS NOT NULL", f"{left} IS NULL AND {right} IS NOT NULL"
     else:
-        tag = value.member(kind.key).scalar(D.String, jvm).value
+        tag = decode(at, value.member(kind.key), D.String, jvm)
         left, right = branch(value, kind.left), branch(value, kind.right)
-        is_left = F.coalesce(tag == kind.left_tag, no()) & left.ok
-        is_right = F.coalesce((tag == kind.right_tag) & (tag != kind.left_tag), no()) & right.ok
-    ok = F.coalesce(value.is_object(), no()) & (is_left | is_right)
-    sides = F.struct(F.when(is_left, left.value).alias("left"), F.when(is_right, right.value).alias("right"))
-    return Decoded(ok, F.when(ok, sides))
+        is_left = f"{tag} <=> {sql.text(kind.left_tag)} AND {left} IS NOT NULL"
+        is_right = "FALSE" if kind.left_tag == kind.right_tag else f"{tag} <=> {sql.text(kind.right_tag)} AND {right} IS NOT NULL"
+    sides = sql.struct([("left", f"CASE WHEN {is_left} THEN {left} END"), ("right", f"CASE WHEN {is_right} THEN {right} END")])
+    return at.keep(f"CASE WHEN {value.is_object(at)} AND ({is_left} OR {is_right}) THEN {sides} END")
 
 
-def decodes_whole(value: Value, kind: D.DeclaredType, jvm: bool) -> Column:
+def decodes_whole(at: Scope, value: Value, kind: D.DeclaredType, jvm: bool) -> str:
     """Whether a record decodes with all its fields; other types only need to decode."""
     kind = kind.core()
     if not isinstance(kind, D.Nested):
-        return yes()
-    ok = F.coalesce(value.is_object(), no())
+        return "TRUE"
+    parts = [value.is_object(at)]
     for f in kind.contract.fields:
-        m = value.member(f.name)
-        got = decode(m, f.type, jvm)
-        ok = ok & F.when(m.absent, F.lit(not f.required)).when(m.null, F.lit(f.optional)).otherwise(F.coalesce(got.ok, no()))
-    return ok
+        m, got = member(value, f), decode(at, member(value, f), f.type, jvm)
+        missing = "FALSE" if f.required else m.absent(at)
+        parts.append(f"({got} IS NOT NULL OR {missing} OR {m.null(at) if f.optional else 'FALSE'})")
+    return " AND ".join(parts)
+
+
+def member(value: Value, f: Field) -> Value:
+    """A record's member for a field."""
+    return value.member(f.name, isinstance(f.type.core(), HEAVY))
 
 
-def filled(m: Value, f: Field, jvm: bool) -> Column:
+def filled(at: Scope, m: Value, f: Field, got: str) -> str:
     """A field's decoded value, with its default where it is absent."""
-    got = decode(m, f.type, jvm).value.cast(f.type.spark())
     if not f.has_default:
         return got
-    default = f.default if isinstance(f.default, Column) else F.lit(f.default)
-    return F.when(m.absent, default.cast(f.type.spark())).otherwise(got)
+    kind = f.type.spark()
+    default = None if isinstance(f.default, Column) else sql.constant(f.default, kind)
+    if default is None:
+        made = f.default if isinstance(f.default, Column) else F.lit(f.default)
+        default = at.apply(lambda: made.cast(kind), key=f"default {id(f)}")
+    return f"CASE WHEN {m.absent(at)} THEN {default} ELSE {got} END"
 
 
-def construct(value: Value, contract: Contract, jvm: bool = False) -> Column:
+def construct(at: Scope, value: Value, contract: Contract, jvm: bool = False) -> str:
     """A record as a struct of decoded fields; included contracts are nested again."""
-    return struct_of(contract, lambda f: filled(value.member(f.name), f, jvm))
+    return struct_of(contract, lambda f: filled(at, member(value, f), f, decode(at, member(value, f), f.type, jvm)))
 
 
-def struct_of(contract: Contract, column) -> Column:
-    """A record's struct from a column for each of its wire-level fields."""
+def struct_of(contract: Contract, text) -> str:
+    """A record's struct from a text for each of its wire-level fields."""
     parts = []
     for f in contract.declared:
-        if f.include:
-            inner = F.struct(*[column(g).alias(g.name) for g in f.type.contract.declared])
-            parts.append(inner.cast(f.type.spark()).alias(f.name))
-        else:
-            parts.append(column(f).alias(f.name))
-    return F.struct(*parts)
+        inner = f.type.contract.declared if f.include else ()
+        parts.append((f.name, f"CAST({sql.struct((g.name, text(g)) for g in inner)} AS {sql.type_text(f.type.spark())})" if f.include else text(f)))
+    return sql.struct(parts)
+
+
+def decoded_column(m: Value, f: Field, jvm: bool = False) -> Column:
+    """A field's decoded value as a Column of its own."""
+    kind = f.type.core()
+    if isinstance(kind, D.Custom):
+        return kind.decode(F.expr(m.whole())).cast(kind.type)
+    return F.expr(decode(Inline(), m, f.type, jvm))

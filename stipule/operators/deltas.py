@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAP = "map<string,variant>"
+#: Levels that records merge to; deeper ones on both sides fail.
+DEPTH = 24
 
 
 def as_map(v: Column) -> Column:
@@ -22,7 +24,17 @@ def as_record(m: Column) -> Column:
 
 def is_record(v: Column) -> Column:
     """Whether a VARIANT is a record."""
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return as_map(v).isNotNull()
+
+
+def as_list(v: Column) -> Column:
+    """A VARIANT list as an array; NULL where it is none."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def text_of(v: Column) -> Column:
+    """A VARIANT string; NULL where it is none."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def right_difference(base: Column, updated: Column) -> Column:
@@ -39,22 +51,20 @@ def right_difference(base: Column, updated: Column) -> Column:
 difference_delta = right_difference
 
 
-def deep_merge(base: Column, delta: Column, depth: int = 4) -> Column:
+def deep_merge(base: Column, delta: Column, depth: int = DEPTH) -> Column:
     """``delta`` over ``base``: records merge, anything else is replaced, other base keys stay.
 
-    Spark expressions cannot recurse, so records merge ``depth`` levels deep.
-    Where both sides have records below that, the query fails, as replacing them
-    would lose keys of ``base``; a greater ``depth`` (``Options.depth``) merges them.
+    Spark expressions cannot recurse, so records are merged to ``depth`` levels, at
+    a cost that is linear in it.  Where both sides have records below that, the
+    query fails, as replacing them would lose keys of ``base``.
     """
-    old, new = as_map(base), as_map(delta)
-    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
 
-    def entry(k: Column, v: Column) -> Column:
-        before = F.try_element_at(old, k)
-        deeper = deep_merge(before, v, depth - 1) if depth > 1 else F.raise_error(F.lit("deep_merge: records on both sides nest deeper than its depth; raise it")).cast("variant")
-        return F.when(is_record(before) & is_record(v), deeper).otherwise(v)
+    def entry(_: Column, old: Column, new: Column) -> Column:
+        both = is_record(old) & is_record(new)
+        deeper = deep_merge(old, new, depth - 1) if depth > 1 else F.raise_error(F.lit("deep_merge: records on both sides nest deeper than its depth; raise it")).cast("variant")
+        return F.when(new.isNull(), old).when(both, deeper).otherwise(new)
 
-    return as_record(F.map_concat(kept, F.transform_values(new, entry)))
+    return as_record(F.map_zip_with(as_map(base), as_map(delta), entry))
 
 
 def extra_fields(v: Column, declared: Sequence[str]) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stipule.functions import sql
 from stipule.functions.text import canonical_json, json_text
-from stipule.functions.values import VariantValue
-from stipule.operators.deltas import as_map, as_record
+from stipule.functions.values import struct_of
+from stipule.operators.deltas import as_list, as_map, as_record, is_record, text_of
 from stipule.plans import types as D
 from stipule.plans.contract import Contract, Field
 from stipule.plans.patch import literal
@@ -83,12 +84,13 @@ def sanitize_raw(record: Column, contract: Contract, tagged: bool = True) -> Col
 
 def _raw(v: Column, f: Field, tagged: bool) -> Column | None:
     """A nested value cleaned, or None where there is nothing to clean."""
-    kind, value = f.type.core(), VariantValue(v)
+    kind = f.type.core()
+    member = lambda name: F.try_element_at(as_map(v), F.lit(name))
     if isinstance(kind, D.Nested):
-        return F.when(value.is_object(), sanitize_raw(v, kind.contract, tagged)).otherwise(v)
+        return F.when(is_record(v), sanitize_raw(v, kind.contract, tagged)).otherwise(v)
     if isinstance(kind, D.ListOf) and f.nested is not None:
-        each = lambda x: F.when(VariantValue(x).is_object(), sanitize_raw(x, f.nested, tagged)).otherwise(x)
-        return F.when(value.is_array(), F.to_variant_object(F.transform(value.elements(), each))).otherwise(v)
+        each = lambda x: F.when(is_record(x), sanitize_raw(x, f.nested, tagged)).otherwise(x)
+        return F.when(as_list(v).isNotNull(), F.to_variant_object(F.transform(as_list(v), each))).otherwise(v)
     if not isinstance(kind, D.Either):
         return None
     sides = (("left", kind.left.core(), kind.left_tag), ("right", kind.right.core(), kind.right_tag))
@@ -97,22 +99,21 @@ def _raw(v: Column, f: Field, tagged: bool) -> Column | None:
         # A tag of no branch does not tell which members are sensitive, so those of every branch count.
         for _, branch, _ in sides:
             out = sanitize_raw(out, branch.contract, tagged) if isinstance(branch, D.Nested) else out
-        out = F.when(value.is_object(), out).otherwise(v)
+        out = F.when(is_record(v), out).otherwise(v)
     for side, branch, tag in sides:
         if kind.key is None and not isinstance(branch, D.Nested):
             continue
         if kind.key is None:
-            inner = value.member(side)
-            out = F.when(~inner.absent, _side_cleaned(v, side, branch.contract, tagged)).otherwise(out)
+            out = F.when(member(side).isNotNull(), _side_cleaned(v, side, branch.contract, tagged)).otherwise(out)
         elif tagged:
-            is_side = F.coalesce(value.member(kind.key).scalar(D.String, False).value == tag, F.lit(False))
+            is_side = F.coalesce(text_of(member(kind.key)) == tag, F.lit(False))
             out = F.when(is_side, sanitize_raw(v, branch.contract, tagged) if isinstance(branch, D.Nested) else v).otherwise(out)
     return out
 
 
 def _side_cleaned(v: Column, side: str, contract: Contract, tagged: bool) -> Column:
     def clean(k: Column, x: Column) -> Column:
-        return F.when((k == side) & VariantValue(x).is_object(), sanitize_raw(x, contract, tagged)).otherwise(x)
+        return F.when((k == side) & is_record(x), sanitize_raw(x, contract, tagged)).otherwise(x)
 
     return as_record(F.transform_values(as_map(v), clean))
 
@@ -129,10 +130,9 @@ def flatten(df: DataFrame, contract: Contract, record: str = "value") -> DataFra
 
 def rebuild(df: DataFrame, contract: Contract, record: str = "value") -> DataFrame:
     """The inverse of :func:`flatten`: wire-level columns back into one struct."""
-    from stipule.functions.values import struct_of
-
     names = {f.name for f in contract.fields}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], struct_of(contract, lambda f: F.col(f"`{f.name}`")).alias(record))
+    whole = F.expr(struct_of(contract, lambda f: sql.name(f.name)))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], whole.alias(record))
 
 
 def to_raw(record: Column, contract: Contract, drop_nulls: bool = True) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stipule.functions.values import VariantValue
+from stipule.functions import sql
+from stipule.functions.scopes import Inline
+from stipule.functions.values import VariantValue, decoded_column, member
 from stipule.operators.compiler import Options
 from stipule.operators.deltas import as_map, as_record
 from stipule.operators.validate import Results, validate, validate_patch
@@ -13,21 +15,18 @@ from stipule.plans.contract import Contract
 from stipule.plans.patch import Patch
 
 
-def apply_to(record: Column, patch: Patch, contract: Contract | None = None) -> Column:
-    """A VARIANT record with a patch laid over it; nothing is checked."""
-    return as_record(_overlaid(as_map(record), _delta(record, patch, contract)))
+def apply_to(raw: str, patch: Patch, contract: Contract | None = None) -> Column:
+    """The VARIANT records of a column with a patch laid over them; nothing is checked."""
+    return as_record(_overlaid(as_map(F.col(sql.name(raw))), _delta(raw, patch, contract)))
 
 
-def _delta(record: Column, patch: Patch, contract: Contract | None) -> Column:
-    from stipule.functions.values import decode
-
-    contract = contract or patch.contract
+def _delta(raw: str, patch: Patch, contract: Contract | None) -> Column:
+    contract, record = contract or patch.contract, VariantValue(sql.name(raw))
 
     def current(name: str) -> Column:
-        m = VariantValue.key(record, name)
-        return decode(m, contract.field(name).type).value if contract is not None else m.v
+        return decoded_column(member(record, contract.field(name)), contract.field(name)) if contract is not None else F.expr(record.member(name).whole())
 
-    return patch.delta(current, lambda name: ~VariantValue.key(record, name).absent)
+    return patch.delta(current, lambda name: F.expr(f"NOT {record.member(name, True).absent(Inline())}"))
 
 
 def apply_patch(df: DataFrame, contract: Contract, patch: Patch, raw: str, *, options: Options = Options(), names: Results = Results()) -> DataFrame:
@@ -35,8 +34,7 @@ def apply_patch(df: DataFrame, contract: Contract, patch: Patch, raw: str, *, op
 
     A constant equal to the stored value is no change.
     """
-    record = F.col(f"`{raw}`")
-    before, delta = as_map(record), _delta(record, patch, contract)
+    before, delta = as_map(F.col(sql.name(raw))), _delta(raw, patch, contract)
     same = lambda k, v: F.to_json(F.try_element_at(before, k)).eqNullSafe(F.to_json(v))
     changed = as_record(F.map_filter(delta, lambda k, v: ~(F.map_contains_key(before, k) & same(k, v))))
     return validate_patch(df.withColumn("_patch", changed), contract, raw, "_patch", options=options, names=names).drop("_patch")
@@ -46,12 +44,13 @@ def patch_join(current: DataFrame, patches: DataFrame, contract: Contract, key:
     """Stored records joined with their patches by key and validated; rows without a patch pass.
 
     With ``order``, of several patches for a key the one of greatest order is
-    taken; without it, keys of ``patches`` must be unique.
+    taken, and of those the one of greatest JSON text, reduced before the shuffle;
+    without it, keys of ``patches`` must be unique.
     """
+    given = patches.select(key, F.col(sql.name(patch)).alias("_patch"), *([F.col(sql.name(order)).alias("_order")] if order else []))
     if order is not None:
-        latest = Window.partitionBy(key).orderBy(F.desc(order))
-        patches = patches.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
-    joined = current.join(patches.select(key, F.col(patch).alias("_patch")), key, "left")
+        given = given.groupBy(key).agg(F.max_by("_patch", F.struct("_order", F.to_json("_patch"))).alias("_patch"))
+    joined = current.join(given, key, "left")
     filled = joined.withColumn("_patch", F.coalesce("_patch", F.parse_json(F.lit("{}"))))
     return validate_patch(filled, contract, raw, "_patch", options=options).drop("_patch")
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stipule.functions.values import TypedValue, Value, VariantValue, construct
-from stipule.operators.compiler import Options, patch_checks, record_checks
+from stipule.functions import sql
+from stipule.functions.scopes import Scope, Table
+from stipule.functions.values import TypedValue, Value, VariantValue
+from stipule.operators.compiler import Compiler, Options, Record
 from stipule.operators.deltas import as_map, as_record, deep_merge, extra_fields
-from stipule.operators.violations import Check, any_fails, collected
+from stipule.operators.violations import NONE, Check, any_fails, collected
 from stipule.plans.contract import Contract
 
 
@@ -33,19 +35,22 @@ class Columns(Value):
             raise ValueError("nulls is 'absent' or 'explicit'")
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.explicit = nulls == "explicit"
-        self.names = tuple(f.name for f in contract.fields if f.name in self.types) + unknown
-        self.absent, self.null = F.lit(False), F.lit(False)
+        self.names = [f.name for f in contract.fields if f.name in self.types] + list(unknown)
 
-    def member(self, name: str) -> Value:
-        if name not in self.types:
-            return TypedValue(None, None, self.explicit)
-        return TypedValue(F.col(f"`{name}`"), self.types[name], self.explicit)
+    def member(self, name: str, heavy: bool = False) -> Value:
+        path = (sql.text(name),)
+        return TypedValue(sql.name(name), self.types[name], self.explicit, path) if name in self.types else TypedValue(None, None, self.explicit, path)
 
-    def is_object(self) -> Column:
-        return F.lit(True)
+    def absent(self, at: Scope) -> str:
+        return "FALSE"
+
+    null = absent
+
+    def is_object(self, at: Scope) -> str:
+        return "TRUE"
 
     def fixed_keys(self) -> list[str] | None:
-        return list(self.names)
+        return self.names
 
 
 def source(df: DataFrame, contract: Contract, raw: str | None, nulls: str = "absent", closed_columns: bool = False) -> Value:
@@ -58,31 +63,29 @@ def source(df: DataFrame, contract: Contract, raw: str | None, nulls: str = "abs
         return Columns(df, contract, nulls, tuple(c for c in df.columns if c not in declared) if closed_columns else ())
     kind = df.schema[raw].dataType
     if isinstance(kind, T.VariantType):
-        return VariantValue(F.col(f"`{raw}`"))
+        return VariantValue(sql.name(raw))
     if isinstance(kind, (T.StructType, T.MapType)):
-        return TypedValue(F.col(f"`{raw}`"), kind, nulls == "explicit")
+        return TypedValue(sql.name(raw), kind, nulls == "explicit")
     raise TypeError(f"{raw} holds {kind.simpleString()}; a record is a VARIANT, a struct or a map")
 
 
-def _guarded(record: Value, checks: list[Check]) -> list[Check]:
+def _guarded(at: Scope, record: Value, checks: list[Check]) -> list[Check]:
     """Checks behind one for rows that hold no record at all."""
     if isinstance(record, Columns):
         return checks
-    whole = F.coalesce(record.is_object(), F.lit(False))
-    root = Check.one(~whole, (), F.concat(F.lit("TYPE_MISMATCH(declared type,"), F.coalesce(record.kind_text(), F.lit("null")), F.lit(")")), "record has an incorrect type")
+    whole = at.keep(record.is_object(at))
+    root = Check.one(f"NOT {whole}", (), f"concat('TYPE_MISMATCH(declared type,', {record.kind_text()}, ')')", "'record has an incorrect type'")
     return [root, *(c.when(whole) for c in checks)]
 
 
-def violations_of(df: DataFrame, contract: Contract, raw: str | None = None, *, nulls: str = "absent", options: Options = Options(), partial: bool = False, closed_columns: bool = False) -> Column:
-    """The violations of each row, as a column to select."""
-    record = source(df, contract, raw, nulls, closed_columns)
-    return collected(_guarded(record, record_checks(record, contract, (), options, partial)))
-
-
-def validity_of(df: DataFrame, contract: Contract, raw: str | None = None, *, nulls: str = "absent", options: Options = Options(), closed_columns: bool = False) -> Column:
-    """Whether each row is valid, from the same conditions but without building arrays."""
-    record = source(df, contract, raw, nulls, closed_columns)
-    return ~any_fails(_guarded(record, record_checks(record, contract, (), options)))
+def _results(table: Table, record: Record, checks: list[Check], names: Results) -> dict[str, str]:
+    """The three result columns; valid rows build no array."""
+    valid = table.keep(f"NOT ({any_fails(checks)})")
+    return {
+        names.value: f"CASE WHEN {valid} THEN {record.value} END",
+        names.is_valid: valid,
+        names.violations: f"CASE WHEN {valid} THEN {NONE} ELSE {collected(checks)} END",
+    }
 
 
 def validate(df: DataFrame, contract: Contract, raw: str | None = None, *, nulls: str = "absent", options: Options = Options(), closed_columns: bool = False, names: Results = Results()) -> DataFrame:
@@ -90,17 +93,19 @@ def validate(df: DataFrame, contract: Contract, raw: str | None = None, *, nulls
 
     The record is NULL, and extras are empty, where there are violations.
     """
-    record = source(df, contract, raw, nulls, closed_columns)
-    checks = _guarded(record, record_checks(record, contract, (), options))
-    valid = ~any_fails(checks)
-    out = {
-        names.value: F.when(valid, construct(record, contract, options.jvm)),
-        names.is_valid: valid,
-        names.violations: collected(checks),
-    }
+    table, value = Table(df), source(df, contract, raw, nulls, closed_columns)
+    record = Compiler(table, options).record(table, value, contract)
+    out: dict[str, str | Column] = dict(_results(table, record, _guarded(table, value, record.checks), names))
     if contract.open:
-        out[names.extras] = F.when(valid, extras_of(df, contract, raw)).otherwise(F.create_map().cast("map<string,variant>"))
-    return df.withColumns(out)
+        out[names.extras] = F.when(F.col(out[names.is_valid]), extras_of(df, contract, raw)).otherwise(F.create_map().cast("map<string,variant>"))
+    return table.selected(out)
+
+
+def with_validity(df: DataFrame, contract: Contract, raw: str | None = None, *, nulls: str = "absent", options: Options = Options(), closed_columns: bool = False, name: str = "is_valid") -> DataFrame:
+    """``df`` with only the validity of each row, from the same conditions."""
+    table, value = Table(df), source(df, contract, raw, nulls, closed_columns)
+    record = Compiler(table, options).record(table, value, contract)
+    return table.selected({name: f"NOT ({any_fails(_guarded(table, value, record.checks))})"})
 
 
 def extras_of(df: DataFrame, contract: Contract, raw: str | None = None) -> Column:
@@ -125,12 +130,13 @@ def validate_partial(df: DataFrame, contract: Contract, raw: str, *, options: Op
 
     A null on a field that is not optional is a mismatch, as anywhere else.
     """
-    record = source(df, contract, raw)
-    checks = _guarded(record, record_checks(record, contract, (), options, partial=True))
-    valid = ~any_fails(checks)
+    table, value = Table(df), source(df, contract, raw)
+    record = Compiler(table, options).record(table, value, contract, partial=True)
+    out = _results(table, record, _guarded(table, value, record.checks), names)
+    del out[names.value]
     declared = F.array(*[F.lit(f.name) for f in contract.fields])
-    draft = as_record(F.map_filter(as_map(F.col(f"`{raw}`")), lambda k, _: F.array_contains(declared, k)))
-    return df.withColumns({names.draft: F.when(valid, draft), names.is_valid: valid, names.violations: collected(checks)})
+    draft = as_record(F.map_filter(as_map(F.col(sql.name(raw))), lambda k, _: F.array_contains(declared, k)))
+    return table.selected({names.draft: F.when(F.col(out[names.is_valid]), draft), **out})
 
 
 def validate_patch(df: DataFrame, contract: Contract, current: str, patch: str, *, options: Options = Options(), names: Results = Results()) -> DataFrame:
@@ -138,15 +144,13 @@ def validate_patch(df: DataFrame, contract: Contract, current: str, patch: str,
 
     ``value`` is the merged record.  Both are VARIANT, struct or map columns.
     """
-    stored, given = source(df, contract, current), source(df, contract, patch)
-    checks, record = patch_checks(stored, given, contract, (), options)
-    checks = _guarded(given, checks)
-    valid = ~any_fails(checks)
-    out = {names.value: F.when(valid, record), names.is_valid: valid, names.violations: collected(checks)}
+    table, given = Table(df), source(df, contract, patch)
+    record = Compiler(table, options).patch(table, source(df, contract, current), given, contract)
+    out: dict[str, str | Column] = dict(_results(table, record, _guarded(table, given, record.checks), names))
     if contract.open:
-        whole = deep_merge(F.col(f"`{current}`"), F.col(f"`{patch}`"), options.depth)
-        out[names.extras] = F.when(valid, extra_fields(whole, [f.name for f in contract.fields])).otherwise(F.create_map().cast("map<string,variant>"))
-    return df.withColumns(out)
+        whole = deep_merge(F.col(sql.name(current)), F.col(sql.name(patch)))
+        out[names.extras] = F.when(F.col(out[names.is_valid]), extra_fields(whole, [f.name for f in contract.fields])).otherwise(F.create_map().cast("map<string,variant>"))
+    return table.selected(out)
 
 
 def validate_aspect_patch(df: DataFrame, contract: Contract, aspect: Contract, current: str, patch: str, *, options: Options = Options(), names: Results = Results()) -> DataFrame:
@@ -156,13 +160,13 @@ def validate_aspect_patch(df: DataFrame, contract: Contract, aspect: Contract, c
     """
     if not aspect.is_aspect_of(contract):
         raise ValueError(f"{aspect.name} is no aspect of {contract.name}")
-    own = source(df, aspect, patch)
-    first = _guarded(own, record_checks(own, aspect, (), options))
-    kept = F.map_filter(as_map(F.col(f"`{patch}`")), lambda _, v: ~F.is_variant_null(v))
-    # Both results are columns of their own, so the second stage does not repeat the first.
-    staged = df.withColumns({"_wrong": collected(first), "_patch": as_record(kept)})
-    good = F.size("_wrong") == 0
-    checks, record = patch_checks(source(df, contract, current), VariantValue(F.col("_patch")), contract, (), options)
-    valid = good & ~any_fails(checks)
-    found = F.when(good, collected(checks)).otherwise(F.col("_wrong"))
-    return staged.withColumns({names.value: F.when(valid, record), names.is_valid: valid, names.violations: found}).drop("_wrong", "_patch")
+    table, own = Table(df), source(df, aspect, patch)
+    compiler = Compiler(table, options)
+    first = _guarded(table, own, compiler.record(table, own, aspect).checks)
+    good = table.keep(f"NOT ({any_fails(first)})")
+    given = table.apply(lambda c: as_record(F.map_filter(as_map(c), lambda _, v: ~F.is_variant_null(v))), sql.name(patch))
+    record = compiler.patch(table, source(df, contract, current), VariantValue(given), contract)
+    then = _results(table, record, record.checks, names)
+    valid = table.keep(f"{good} AND {then[names.is_valid]}")
+    found = f"CASE WHEN {good} THEN {then[names.violations]} ELSE {collected(first)} END"
+    return table.selected({names.value: f"CASE WHEN {valid} THEN {record.value} END", names.is_valid: valid, names.violations: found})

@@ -1,55 +1,50 @@
-"""Violations as columns: single checks, and arrays of them built inside code generation."""
+"""Violations: single checks as SQL text, and arrays of them built in plain branches."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VIOLATION = "struct<path:array<string>,code:string,message:string>"
-Path = tuple[Column, ...]
-
+from stipule.functions import sql
 
-def none() -> Column:
-    """An empty array of violations."""
-    return F.array().cast(f"array<{VIOLATION}>")
+VIOLATION = "struct<path:array<string>,code:string,message:string>"
+NONE = f"CAST(array() AS array<{VIOLATION}>)"
 
 
-def single(path: Path, code: Column | str, message: Column | str) -> Column:
-    """One violation."""
-    where = F.array(*path) if path else F.array().cast("array<string>")
-    text = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(where.alias("path"), text(code).alias("code"), text(message).alias("message"))
+def violation(path: Sequence[str], code: str, message: str) -> str:
+    """One violation, from texts."""
+    return sql.struct([("path", sql.array(path)), ("code", code), ("message", message)])
 
 
 @dataclass(frozen=True)
 class Check:
-    """Where something is wrong, and the violations to report there."""
+    """Where something is wrong (a condition that is never NULL), and the violations to report there."""
 
-    fails: Column
-    found: Column
+    fails: str
+    found: str
 
     @classmethod
-    def one(cls, fails: Column, path: Path, code: Column | str, message: Column | str) -> Check:
+    def one(cls, fails: str, path: Sequence[str], code: str, message: str) -> Check:
         """A check that reports a single violation."""
-        return cls(fails, F.array(single(path, code, message)).cast(f"array<{VIOLATION}>"))
+        return cls(fails, f"array({violation(path, code, message)})")
 
-    def when(self, gate: Column) -> Check:
+    def when(self, gate: str) -> Check:
         """The same check, only where ``gate`` holds."""
-        return Check(gate & self.fails, self.found)
+        return self if gate == "TRUE" else Check(f"{gate} AND ({self.fails})", self.found)
 
 
-def collected(checks: Sequence[Check]) -> Column:
+def collected(checks: Sequence[Check]) -> str:
     """All violations in order.  Each check is a plain branch, so the array stays in generated code."""
-    return F.concat(*[F.when(c.fails, c.found).otherwise(none()) for c in checks]) if checks else none()
+    some = [f"CASE WHEN {c.fails} THEN {c.found} ELSE {NONE} END" for c in checks if c.fails != "FALSE"]
+    return f"CAST(concat({', '.join(some)}) AS array<{VIOLATION}>)" if some else NONE
 
 
-def any_fails(checks: Sequence[Check]) -> Column:
+def any_fails(checks: Sequence[Check]) -> str:
     """Whether any check fails; no array is built for it."""
-    return reduce(lambda a, b: a | b, [c.fails for c in checks], F.lit(False))
+    return sql.any_of(c.fails for c in checks if c.fails != "FALSE")
 
 
 def dotted(violation: Column) -> Column:

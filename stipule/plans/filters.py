@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stipule.functions.text import full_match
 from stipule.plans.contract import Contract
@@ -25,9 +26,9 @@ LOGICAL = ("$and", "$or", "$nor")
 
 @dataclass(frozen=True)
 class Operand:
-    """What a predicate reads: the decoded value, raw text, and whether null is explicit."""
+    """What a predicate reads: the value to compare with a constant, raw text, and whether null is explicit."""
 
-    value: Column
+    like: Callable[[Any], Column]
     text: Column
     there: Column
     null: Column
@@ -118,7 +119,7 @@ class Equal(Expr):
         o, positive = at(self.name), self.wanted != negated
         if self.value is None:
             return o.null if positive else ~o.null
-        return o.value == self.value if positive else ~o.value.eqNullSafe(F.lit(self.value))
+        return o.like(self.value) == self.value if positive else ~o.like(self.value).eqNullSafe(F.lit(self.value))
 
     def to_mongo_query(self) -> dict[str, Any]:
         return {self.name: self.value if self.wanted else {"$ne": self.value}}
@@ -143,7 +144,8 @@ class Compare(Expr):
     double: bool = False
 
     def column(self, at: Lookup, negated: bool = False) -> Column:
-        c = at(self.name).value.cast("double") if self.double else at(self.name).value
+        held = at(self.name).like(self.value)
+        c = held.cast("double") if self.double else held
         yes, no = COMPARE[self.op]
         if not negated:
             return yes(c, self.value) & ~F.isnan(c) if self.double else yes(c, self.value)
@@ -153,6 +155,10 @@ class Compare(Expr):
         return {self.name: {self.op: float(self.value) if self.double else self.value}}
 
 
+def _kind(constant: Any) -> type:
+    return bool if isinstance(constant, bool) else str if isinstance(constant, str) else float
+
+
 @dataclass(frozen=True)
 class Within(Expr):
     name: str
@@ -160,11 +166,18 @@ class Within(Expr):
     wanted: bool = True
 
     def column(self, at: Lookup, negated: bool = False) -> Column:
-        c, positive = at(self.name).value, self.wanted != negated
-        if not self.values:
-            return F.lit(not positive)
-        inside = c.isin(*self.values)
-        return inside if positive else c.isNull() | ~inside
+        o, positive = at(self.name), self.wanted != negated
+        # Constants of one kind are looked up together.
+        kinds: dict[type, list[Any]] = {}
+        for v in self.values:
+            kinds.setdefault(_kind(v), []).append(v)
+        out = F.lit(not positive)
+        for k, values in enumerate(kinds.values()):
+            c = o.like(values[0])
+            inside = c.isin(*values)
+            one = inside if positive else c.isNull() | ~inside
+            out = one if not k else out | one if positive else out & one
+        return out
 
     def to_mongo_query(self) -> dict[str, Any]:
         return {self.name: {"$in" if self.wanted else "$nin": list(self.values)}}
@@ -275,19 +288,26 @@ def predicate(df: DataFrame, expr: Expr, contract: Contract | None = None, raw:
 
         def column(name: str) -> Operand:
             c = F.col(f"`{name}`")
-            return Operand(c, c, c.isNotNull(), c.isNull() if nulls == "explicit" else F.lit(False))
+            text = c if isinstance(df.schema[name].dataType, T.StringType) else F.lit(None).cast("string")
+            return Operand(lambda _: c, text, c.isNotNull(), c.isNull() if nulls == "explicit" else F.lit(False))
 
         return expr.column(column)
 
-    from stipule.functions.values import VariantValue, decode
-    from stipule.plans.types import String
+    from stipule.functions import sql
+    from stipule.functions.scopes import Inline
+    from stipule.functions.values import VariantValue, decode, decoded_column
+    from stipule.functions.values import member as member_of
+    from stipule.plans.types import Boolean, Double, String
 
     if contract is None:
         raise ValueError("raw records need a contract to decode by")
 
     def member(name: str) -> Operand:
-        m = VariantValue.key(F.col(f"`{raw}`"), name)
-        got = decode(m, contract.field(name).type, jvm)
-        return Operand(F.when(got.ok, got.value), m.scalar(String, jvm).value, ~m.absent & ~m.null, m.null)
+        f, at = contract.field(name), Inline()
+        m = member_of(VariantValue(sql.name(raw)), f)
+        there = F.expr(f"NOT {m.absent(at)} AND NOT {m.null(at)}")
+        # The JVM's predicates do not decode: they look at the value as it stands.
+        as_is = lambda v: F.expr(decode(at, m, {str: String, bool: Boolean, float: Double}[_kind(v)], True))
+        return Operand(as_is if jvm else lambda _: decoded_column(m, f), as_is(""), there, F.expr(m.null(at)))
 
     return F.coalesce(expr.column(member), F.lit(False))

@@ -17,7 +17,7 @@ from stipule.operators.compiler import Options
 from stipule.operators.deltas import as_map, deep_merge, right_difference
 from stipule.operators.reshape import clean_struct, flatten, raw_to_json, sanitize, sanitize_json, sanitize_raw, to_json, to_raw
 from stipule.operators.updates import apply_patch, apply_to, finalize, merge_drafts, patch_join, violation_report, violation_rows
-from stipule.operators.validate import extras_of, validate, validate_aspect_patch, validate_partial, validate_patch, validity_of
+from stipule.operators.validate import extras_of, validate, validate_aspect_patch, validate_partial, validate_patch, with_validity
 from stipule.plans.contract import Contract, Field, Rule
 from stipule.plans.filters import Expr, Filter, matching
 from stipule.plans.patch import Patch
@@ -117,8 +117,7 @@ def validate_messages(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_orderkey, (o_orderstatus IN ('O', 'F') AND o_totalprice > 0 AND o_totalprice <= 400000) AS is_valid FROM orders""",
 )
 def validate_orders_ok(spark: SparkSession, sf: str) -> DataFrame:
-    df = _read(spark, sf, "orders")
-    return df.select("o_orderkey", validity_of(df, ORDERS).alias("is_valid"))
+    return with_validity(_read(spark, sf, "orders"), ORDERS).select("o_orderkey", "is_valid")
 
 
 @_query(
@@ -608,7 +607,7 @@ def patch_latest_all(spark: SparkSession, sf: str) -> DataFrame:
 def patch_applied(spark: SparkSession, sf: str) -> DataFrame:
     patch = Patch.empty(CUSTOMER).modify("c_mktsegment", lambda c: F.concat(F.upper(c), F.lit("!"))).set("c_nationkey", 3)
     out = apply_patch(_customers(spark, sf), CUSTOMER, patch, "raw")
-    shown = F.try_variant_get(apply_to(F.col("raw"), patch, CUSTOMER), "$.c_mktsegment", "string")
+    shown = F.try_variant_get(apply_to("raw", patch, CUSTOMER), "$.c_mktsegment", "string")
     return out.select("c_custkey", shown.alias("c_mktsegment"), "is_valid")
 
 

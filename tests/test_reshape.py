@@ -98,8 +98,8 @@ def test_deep_merge_never_drops_what_lies_too_deep(spark):
     df = raw_df(spark, {"a": {"b": {"c": {"d": {"e": 1, "f": 2}, "g": 5}}}})
     delta = F.parse_json(F.lit('{"a": {"b": {"c": {"d": {"e": 3}}}}}'))
     with pytest.raises(Exception, match="nest deeper"):
-        df.select(F.to_json(deep_merge(F.col("raw"), delta))).collect()
-    assert column(spark, deep_merge(F.col("raw"), delta, 5), {"a": {"b": {"c": {"d": {"e": 1, "f": 2}}}}}) == [{"a": {"b": {"c": {"d": {"e": 3, "f": 2}}}}}]
+        df.select(F.to_json(deep_merge(F.col("raw"), delta, 4))).collect()
+    assert column(spark, deep_merge(F.col("raw"), delta), {"a": {"b": {"c": {"d": {"e": 1, "f": 2}}}}}) == [{"a": {"b": {"c": {"d": {"e": 3, "f": 2}}}}}]
     flat = F.parse_json(F.lit('{"a": {"b": {"c": {"d": 7}}}}'))
     assert column(spark, deep_merge(F.col("raw"), flat), {"a": {"b": {"c": {"d": {"e": 1}, "g": 5}}}}) == [{"a": {"b": {"c": {"d": 7, "g": 5}}}}]
 
@@ -107,7 +107,7 @@ def test_deep_merge_never_drops_what_lies_too_deep(spark):
 def test_patches(spark):
     patch = Patch.empty(USER).modify("age", lambda c: c + 1).modify("email", lambda c: F.upper(c)).set("name", "B").unset("password")
     assert patch.size() == 4 and patch.to_raw() == {"name": "B", "password": None} and Patch.from_raw({"z": 1}).put_all({"y": 2}).to_map() == {"z": 1, "y": 2}
-    assert column(spark, apply_to(F.col("raw"), patch), {"id": 1, "age": 3, "name": "A"}) == [{"id": 1, "age": 4, "name": "B", "password": None}]
+    assert column(spark, apply_to("raw", patch), {"id": 1, "age": 3, "name": "A"}) == [{"id": 1, "age": 4, "name": "B", "password": None}]
     rows = apply_patch(raw_df(spark, {"id": 1, "age": 150, "name": "A"}, {"id": 1, "name": "B"}), USER, patch, "raw").orderBy("i").collect()
     assert [codes(r) for r in rows] == [[("age", "CONSTRAINT(max)")], []] and rows[1].value.name == "B"
     same = Patch.empty(USER).set("id", 1)  # no change, so immutability does not matter

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stipule import Contract, Field, Float, Int, Long, String
 from stipule.functions.checks import no_whitespace
 from stipule.operators.compiler import Options
-from stipule.operators.validate import extras_of, validate, validate_aspect_patch, validate_partial, validity_of
+from stipule.operators.validate import extras_of, validate, validate_aspect_patch, validate_partial, with_validity
 
 
 def test_records(spark):
@@ -168,7 +168,7 @@ def test_typed_columns(spark):
     assert [codes(r) for r in rows] == [[("age", "TYPE_MISMATCH")], [("name", "MISSING")]]
     rows = validate(df.drop("age"), USER, nulls="explicit").orderBy("id").collect()
     assert [codes(r) for r in rows] == [[], [("name", "TYPE_MISMATCH")]]
-    assert [r.ok for r in df.select(validity_of(df, USER).alias("ok")).collect()] == [False, False]
+    assert [r.is_valid for r in with_validity(df, USER).collect()] == [False, False]
     assert validate(df.limit(0), USER).count() == 0
     with pytest.raises(TypeError):
         validate(df, USER, "name")
