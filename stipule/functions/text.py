@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -49,8 +50,14 @@ def plain_decimal(c: Column) -> Column:
 
 
 def quoted(c: Column) -> Column:
-    """A JSON string; only quotes, backslashes and control characters are escaped."""
-    return F.regexp_replace(F.to_json(F.struct(c.alias("s"))), r'^\{"s":(.*)\}$', "$1")
+    """A JSON string; only quotes, backslashes and control characters are escaped, with small hexadecimal digits."""
+    whole = F.to_json(F.struct(c.alias("s")))
+    shown = F.substring(whole, F.lit(6), F.length(whole) - 6)
+    small = shown
+    for digit in "ABCDEF":
+        # An escape begins at a backslash that no other one escapes.
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return F.when(c.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), small).otherwise(shown)
 
 
 def json_text(c: Column, kind: T.DataType) -> Column:
@@ -65,7 +72,7 @@ def json_text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return F.when(c.isNotNull(), quoted(c))
     if isinstance(kind, T.VariantType):
-        return canonical_json(F.to_json(c))
+        return variant_json(c)
     if isinstance(kind, T.ArrayType):
         inner = F.transform(c, lambda x: F.coalesce(json_text(x, kind.elementType), F.lit("null")))
         return F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]"))
@@ -75,8 +82,8 @@ def json_text(c: Column, kind: T.DataType) -> Column:
         return F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}"))
     if isinstance(kind, T.StructType):
         members = []
-        for f in sorted(kind.fields, key=lambda f: f.name):
-            member = F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), json_text(c.getField(f.name), f.dataType))
+        for f in sorted(kind.fields, key=lambda f: utf16(f.name)):
+            member = F.concat(F.lit(_string(f.name) + ":"), json_text(c.getField(f.name), f.dataType))
             members.append(member)
         inner = F.concat_ws(",", *members) if members else F.lit("")
         return F.when(c.isNotNull(), F.concat(F.lit("{"), inner, F.lit("}")))
@@ -85,11 +92,14 @@ def json_text(c: Column, kind: T.DataType) -> Column:
     return c.cast("string")
 
 
-def number_text(x: float) -> str:
-    """A finite double without exponent or trailing zeros."""
-    from decimal import Decimal
+def utf16(key: str) -> bytes:
+    """Keys sort by UTF-16 units."""
+    return key.encode("utf-16-be", "surrogatepass")
 
-    text = format(Decimal(repr(x)), "f")
+
+def number_text(x: float | Decimal) -> str:
+    """A finite number without exponent or trailing zeros."""
+    text = format(x if isinstance(x, Decimal) else Decimal(repr(x)), "f")
     text = text.rstrip("0").rstrip(".") if "." in text else text
     return "0" if text in ("-0", "") else text
 
@@ -98,7 +108,7 @@ def render(value: Any, indent: int = 0, depth: int = 0) -> str:
     """Canonical JSON of a parsed value; ``indent`` spaces a level, 0 for compact."""
     pad, end = ("\n" + " " * indent * (depth + 1), "\n" + " " * indent * depth) if indent else ("", "")
     if isinstance(value, dict):
-        held = sorted((k, v) for k, v in value.items() if v is not None)
+        held = sorted(((k, v) for k, v in value.items() if v is not None), key=lambda e: utf16(e[0]))
         colon = ": " if indent else ":"
         inner = [f"{pad}{_string(k)}{colon}{render(v, indent, depth + 1)}" for k, v in held]
         return "{" + ",".join(inner) + (end if inner else "") + "}"
@@ -111,7 +121,9 @@ def render(value: Any, indent: int = 0, depth: int = 0) -> str:
         return "null"
     if isinstance(value, bool):
         return "true" if value else "false"
-    return str(value) if isinstance(value, int) else number_text(float(value))
+    if isinstance(value, (int, float, Decimal)):
+        return str(value) if isinstance(value, int) else number_text(value)
+    return _string(str(value))
 
 
 # The escapes of JSON text.
@@ -122,10 +134,24 @@ def _string(text: str) -> str:
     return '"' + "".join(ESCAPES.get(c, f"\\u{ord(c):04x}" if c < " " else c) for c in text) + '"'
 
 
-@F.pandas_udf(T.StringType())
-def canonical_json(texts: pd.Series) -> pd.Series:
-    """Canonical JSON of JSON text whose shape no contract knows; Arrow batches."""
-    return texts.map(lambda t: None if t is None else render(json.loads(t)))
+def parsed(text: str) -> Any:
+    """A JSON value; numbers with a fraction or an exponent keep all their digits."""
+    return json.loads(text, parse_float=Decimal)
+
+
+def variant_json(c: Column, indent: int = 0) -> Column:
+    """Canonical JSON of VARIANTs whose shape no contract knows; Arrow batches.
+
+    Spark writes numbers that are none as strings, so values with such strings
+    are looked at themselves.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def shown(texts: pd.Series, odd: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else render(parsed(t) if v is None else v.toPython(), indent) for t, v in zip(texts, odd, strict=True)], dtype=object)
+
+    text = F.to_json(c)
+    return shown(text, F.when(text.rlike('"(NaN|-?Infinity)"'), c))
 
 
 def pretty_json(c: Column, indent: int = 2) -> Column:
@@ -133,6 +159,6 @@ def pretty_json(c: Column, indent: int = 2) -> Column:
 
     @F.pandas_udf(T.StringType())
     def laid_out(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else render(json.loads(t), indent))
+        return texts.map(lambda t: None if t is None else render(parsed(t), indent))
 
     return laid_out(c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stipule.functions import sql
-from stipule.functions.text import canonical_json, json_text
+from stipule.functions.text import json_text, pretty_json, variant_json
 from stipule.functions.values import struct_of
 from stipule.operators.deltas import as_list, as_map, as_record, is_record, text_of
 from stipule.plans import types as D
@@ -188,24 +188,26 @@ def _wire_either(c: Column, kind: D.Either, drop_nulls: bool) -> Column:
     return out
 
 
-def to_json(df: DataFrame, record: str) -> Column:
-    """Canonical JSON of a struct column, built natively from its type."""
-    return json_text(F.col(f"`{record}`"), df.schema[record].dataType)
+def to_json(df: DataFrame, record: str, indent: int = 0) -> Column:
+    """Canonical JSON of a struct column, built natively from its type; laid out where ``indent`` is given."""
+    out = json_text(F.col(f"`{record}`"), df.schema[record].dataType)
+    return pretty_json(out, indent) if indent else out
 
 
-def raw_to_json(record: Column) -> Column:
+def raw_to_json(record: Column, indent: int = 0) -> Column:
     """Canonical JSON of a VARIANT whose shape no contract tells."""
-    return canonical_json(F.to_json(record))
+    return variant_json(record, indent)
 
 
-def sanitize_json(df: DataFrame, contract: Contract, raw: str | None = None) -> Column:
+def sanitize_json(df: DataFrame, contract: Contract, raw: str | None = None, indent: int = 0) -> Column:
     """Canonical JSON of sanitized records: of the declared and other columns, or of ``raw``."""
     if raw is not None:
-        return raw_to_json(sanitize_raw(F.col(f"`{raw}`"), contract))
+        return raw_to_json(sanitize_raw(F.col(f"`{raw}`"), contract), indent)
     clean = sanitize(df, contract)
     members = []
     for c in clean.schema.fields:
         f = _field(contract, c.name)
         held = F.lit(f.masked) if f is not None and f.masked is not None else F.col(f"`{c.name}`")
         members.append((held if f is None or f.masked is not None else _typed(held, df.schema[c.name].dataType, f)).alias(c.name))
-    return json_text(F.struct(*members), clean.schema)
+    out = json_text(F.struct(*members), clean.schema)
+    return pretty_json(out, indent) if indent else out

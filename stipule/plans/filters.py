@@ -197,7 +197,8 @@ class Text(Expr):
         return c.isNull() | ~hit if negated else hit
 
     def to_mongo_query(self) -> dict[str, Any]:
-        literal = rf"\Q{self.value}\E"
+        # Within a quoted stretch only its end mark means something.
+        literal = rf"\Q{self.value.replace(r'\E', r'\E\\E\Q')}\E"
         if self.op == "matches":
             anchored = self.value.startswith("^") and self.value.endswith("$")
             return {self.name: {"$regex": self.value if anchored else f"^{self.value}$"}}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from decimal import Decimal
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stipule.functions.text import parsed
 from stipule.operators.compiler import Options
 from stipule.operators.updates import patch_join, quarantine
 from stipule.operators.validate import validate
@@ -49,24 +52,41 @@ def patching(stream: DataFrame, contract: Contract, key: str, load: Callable[[Sp
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def _kept(value: Any) -> str:
+    """JSON text with explicit nulls and all digits of numbers."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_kept(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_kept, value)) + "]"
+    return str(value) if isinstance(value, Decimal) else json.dumps(value, ensure_ascii=False)
+
+
 def accumulated_drafts(stream: DataFrame, key: str, text: str, order: str) -> DataFrame:
     """Drafts merged for each key as their parts arrive: ``key, draft`` after each batch.
 
-    ``text`` holds JSON records; later ones, by ``order`` within a batch, win.
-    The state of a key is its merged record.
+    ``text`` holds JSON records; later ones, by ``order`` and then their text within
+    a batch, win.  The state of a key is its merged record.  Text that is no JSON
+    record adds nothing; ``rejected`` counts those of a batch.
     """
     kind = stream.schema[key].dataType.simpleString()
 
     def merge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        for part in pd.concat(list(batches)).sort_values(order, kind="stable")[text]:
-            held |= json.loads(part) if part else {}
-        shown = json.dumps(held, sort_keys=True)
+        held, bad = parsed(state.get[0]) if state.exists else {}, 0
+        for part in pd.concat(list(batches)).sort_values([order, text], kind="stable")[text]:
+            try:
+                one = parsed(part) if part else {}
+            except ValueError:
+                one = None
+            if isinstance(one, dict):
+                held |= one
+            else:
+                bad += 1
+        shown = _kept(held)
         state.update((shown,))
-        yield pd.DataFrame({key: [k[0]], "draft": [shown]})
+        yield pd.DataFrame({key: [k[0]], "draft": [shown], "rejected": [bad]})
 
     grouped = stream.select(key, text, order).groupBy(key)
-    return grouped.applyInPandasWithState(merge, f"{key} {kind}, draft string", "draft string", "update", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(merge, f"`{key}` {kind}, draft string, rejected int", "draft string", "update", GroupStateTimeout.NoTimeout)
 
 
 def violation_counts(stream: DataFrame, time: str, window: str = "1 minute", late: str = "5 minutes", violations: str = "violations") -> DataFrame:

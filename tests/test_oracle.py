@@ -1,6 +1,7 @@
 """Every query with SQL, against DuckDB over the smallest tables."""
 
 import pytest
+import stipule.cases  # noqa: F401
 from oracle import connect, difference
 from stipule.queries import QUERIES, SQL, flagship
 
@@ -18,6 +19,7 @@ def test_every_query_has_sql(spark):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
+    assert con.execute(f"SELECT count(*) FROM ({SQL[name]})").fetchone()[0] > 0
     assert difference(QUERIES[name](spark, SF), con, SQL[name]) == ""
 
 

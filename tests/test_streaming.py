@@ -40,3 +40,10 @@ def test_counts_by_window(spark):
     df = raw_df(spark, {"id": 1}, {"id": 2, "name": ""}).withColumn("at", F.timestamp_seconds(F.col("i") * 120))
     out = violation_counts(validate(df, USER, "raw"), "at").collect()
     assert {(r.path, r.n) for r in out} == {("name", 1)} and len(out) == 2
+
+
+def test_drafts_keep_going_after_text_that_is_no_record(spark, tmp_path):
+    spark.createDataFrame([(1, '{"id": 1.50}', 1), (1, "no json", 2), (1, "[1]", 3), (2, None, 1)], "k int, part string, n int").write.parquet(f"{tmp_path}/in")
+    drafts = accumulated_drafts(spark.readStream.schema("k int, part string, n int").parquet(f"{tmp_path}/in"), "k", "part", "n")
+    drafts.writeStream.outputMode("update").format("memory").queryName("bad_drafts").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.k, r.draft, r.rejected) for r in spark.table("bad_drafts").collect()} == {(1, '{"id":1.50}', 2), (2, "{}", 0)}

@@ -203,3 +203,33 @@ def test_messages_of_patches(spark):
     assert [v.message for v in row.violations] == ["Unknown field 'zz'", "'trackingId' is reserved and cannot be set", "'title' in current record has an unexpected type"]
     row = patched(spark, USER, {"id": 1, "name": "A"}, {"id": 2, "name": 4})
     assert [v.message for v in row.violations] == ["'id' is immutable and cannot be changed", "'name' has an incorrect type"]
+
+
+def test_plans_grow_in_proportion_to_fields(spark):
+    def size(n):
+        c = Contract.define("W", *[Field(f"f{i}", Int, min=0, max=9) for i in range(n)], rules=(Rule("r", lambda r: r.getField("f0") <= r.getField("f1")),))  # noqa: F405
+        return len(validate(raw_df(spark, {}), c, "raw")._jdf.queryExecution().optimizedPlan().toString()), c
+
+    (small, _), (large, _) = size(20), size(80)
+    assert large < 5 * small
+    wide = size(300)[1]
+    out = validate(raw_df(spark, {f"f{i}": 1 for i in range(300)}, {f"f{i}": 11 for i in range(299)}), wide, "raw").orderBy("i").collect()
+    assert [len(r.violations) for r in out] == [0, 300] and out[0].value.f299 == 1
+
+
+def test_four_nested_levels_and_lists_of_lists(spark):
+    c = Contract.define("L0", Field("a", Int, min=1))
+    record = {"a": 0}
+    for k in range(1, 4):
+        c = Contract.define(f"L{k}", Field("a", Int, min=1), Field("n", ListOf(Nested(c)) if k != 2 else Nested(c)), rules=(Rule("a below 9", lambda r: r.getField("a") < 9),))  # noqa: F405
+        record = {"a": 9 if k == 3 else 1, "n": [{**record, "a": 1}, record] if k != 2 else record}
+    # Lists within lists: rules and checks of every element keep their places.
+    got = check(spark, c, record, {**record, "a": 1, "n": []}, {"a": 9, "n": []})
+    assert got == [[("n.0.n.n.1.a", "CONSTRAINT(min)"), ("n.1.n.n.1.a", "CONSTRAINT(min)")], [], [("", "CONSTRAINT(validateContract)")]]
+
+
+def test_names_that_look_like_the_compilers_own(spark):
+    df = spark.createDataFrame([(1, -1, "it's `$x` \\")], "_s0 int, e1 int, `a'b.c` string")
+    c = Contract.define("N", Field("_s0", Int, min=0), Field("e1", Int, min=0), Field("a'b.c", String, pattern=r"it's `\$x` \\"))
+    row = validate(df, c).collect()[0]
+    assert codes(row) == [("e1", "CONSTRAINT(min)")] and row["_s0"] == 1
