@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,7 +30,9 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base pattern, but begun at the start of a digit run only, each run taken whole: inside a run
+#: no start can succeed where the first fails, as a match ends with a whole run.  This keeps it linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -131,7 +134,11 @@ PROPOSE = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban
 
 def context_score(kind: str, text: str, start: int, end: int) -> float:
     """The kind's prior, moved by the words within ``WINDOW`` code points."""
-    near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
+    return _near_score(kind, f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower())
+
+
+@lru_cache(maxsize=1 << 14)
+def _near_score(kind: str, near: str) -> float:
     words = set(re.findall(r"[a-z-]+", near))
     hit = lambda terms: any(t in near if " " in t else t in words for t in terms)
     moved = PRIOR[kind] + STEP * hit(RAISES[kind]) - STEP * hit(LOWERS[kind])
