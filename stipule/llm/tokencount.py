@@ -7,8 +7,9 @@ a trie.  A node's forward score, the best over all segmentations of the prefix
 it stands for, depends on its ancestors only, so every shared prefix is scored
 once; the node where a pre-token ends stores that pre-token's count.
 
-The lexicon is the piece list of a public tokenizer file.  Its order is by
-frequency, and log probabilities follow Zipf's law over it: nothing is trained.
+The lexicon is the piece list of a public tokenizer file, which has ranks but no
+probabilities.  Its order is by frequency, and log probabilities follow Zipf's law
+over it: nothing is trained, so counts are those of this lexicon, not the file's own.
 Scores are whole numbers, so sums do not depend on their order.  Of equally
 probable segmentations the one of fewest tokens counts.  A character without a
 piece costs its UTF-8 bytes, one token each.
@@ -16,7 +17,8 @@ piece costs its UTF-8 bytes, one token each.
 Defined results: null and empty texts have no pre-tokens and no tokens; a null
 id passes through; repeated rows give repeated results; other columns are
 ignored; a pre-token beyond ``LONG`` characters is scored on its own, in the
-same way, instead of entering the trie.
+same way, instead of entering the trie, so a task holds at most ``NODES`` nodes
+and those of one more text.
 """
 
 from __future__ import annotations
@@ -88,9 +90,6 @@ class Counter:
         before, path = "", [0]
         for word in sorted(words):
             marked = MARK + word
-            if len(word) >= LONG:
-                self.terminal[word] = self._alone(marked)
-                continue
             shared, most = 0, min(len(before), len(marked))
             while shared < most and before[shared] == marked[shared]:
                 shared += 1
@@ -111,8 +110,9 @@ class Counter:
             self.terminal[word] = tokens[node]
             before = marked
 
-    def _alone(self, marked: str) -> int:
-        scores, counts = [0], [0]
+    def _alone(self, word: str) -> int:
+        """Tokens of one pre-token, without the trie."""
+        marked, scores, counts = MARK + word, [0], [0]
         for end in range(len(marked)):
             score, count = self._forward(marked, end, scores, counts)
             scores.append(score)
@@ -140,8 +140,23 @@ class Counter:
         return top, few
 
     def count(self, words: list[str]) -> int:
-        """Tokens of a text's pre-tokens."""
-        return sum(map(self.terminal.__getitem__, words))
+        """Tokens of a text's pre-tokens.  Long ones are scored for this text only: nothing of them is kept."""
+        if max(map(len, words), default=0) < LONG:
+            distinct = set(words)
+        else:
+            distinct = {w for w in words if len(w) < LONG}
+        if len(self.best) > self.limit:
+            self.clear()
+        if new := [w for w in distinct if w not in self.terminal]:
+            self.add(new)
+        long: dict[str, int] = {}
+        total = 0
+        for w in words:
+            n = self.terminal.get(w) if len(w) < LONG else long.get(w)
+            if n is None:
+                n = long[w] = self._alone(w)
+            total += n
+        return total
 
 
 def token_counts(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,11 +168,6 @@ def token_counts(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col:
             pre, tok = [], []
             for value in batch.column(1):
                 words = (value.as_py() or "").split()
-                distinct = set(words)
-                if len(counter.best) > counter.limit:
-                    counter.clear()
-                if new := [w for w in distinct if w not in counter.terminal]:
-                    counter.add(new)
                 pre.append(len(words))
                 tok.append(counter.count(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pre, pa.int64()), pa.array(tok, pa.int64())], names=[id_col, "n_pretokens", "n_tokens"])
