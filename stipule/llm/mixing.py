@@ -81,10 +81,11 @@ def share_out(budget: Fraction, wanted: Sequence[tuple[Fraction, Fraction]]) ->
 
 
 def budgets(supply: Mapping[tuple[str, ...], int], total: int, weights: Mapping[tuple[str, ...], float], max_epochs: int = MAX_EPOCHS) -> list[Leaf]:
-    """Leaf budgets in whole tokens, rounded down."""
+    """Leaf budgets in whole tokens, rounded down.  What weighs 0 gets nothing, and others get its share."""
+    barred = {p for p in supply if any(weights.get(p[: k + 1], 1) <= 0 for k in range(len(p)))}
 
     def capacity(paths: list[tuple[str, ...]]) -> Fraction:
-        return sum((max_epochs * Fraction(supply[p]) for p in paths), Fraction(0))
+        return sum((max_epochs * Fraction(supply[p]) for p in paths if p not in barred), Fraction(0))
 
     out: list[Leaf] = []
 
@@ -150,9 +151,11 @@ def thresholds(narrow: DataFrame, leaves: list[Leaf]) -> DataFrame | None:
     two = _cut(in_one.groupBy("_m_leaf", "_m_d1").agg(F.sum("_m_n").alias("_m_n"), F.first("_m_left").alias("_m_rest")), "_m_d1")
     second = F.broadcast(spark.createDataFrame(two.collect(), two.schema))
     in_two = in_one.drop("_m_left").join(second, "_m_leaf").where(F.col("_m_d1") == F.col("_m_d1_cut"))
-    peers = Window.partitionBy("_m_leaf").orderBy(F.struct("_m_h", "_m_id")).rangeBetween(Window.unboundedPreceding, 0)
+    # Rows of one id, or of none, are one row here, as they are taken together.
+    whole = in_two.groupBy("_m_leaf", "_m_h", "_m_id").agg(F.sum("_m_n").alias("_m_n"), F.first("_m_left").alias("_m_left"))
+    peers = Window.partitionBy("_m_leaf").orderBy("_m_h", "_m_id").rowsBetween(Window.unboundedPreceding, 0)
     last = (
-        in_two.withColumn("_m_sum", F.sum("_m_n").over(peers))
+        whole.withColumn("_m_sum", F.sum("_m_n").over(peers))
         .where(F.col("_m_sum") <= F.col("_m_left"))
         .groupBy("_m_leaf")
         .agg(F.max(F.struct("_m_h", "_m_id")).alias("_m_at"))
