@@ -79,11 +79,13 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max
         bucket = F.when(n <= tops[b], F.lit(b)).otherwise(bucket)
     length = F.element_at(F.array(*[F.lit(x) for x in tops]), F.col("_b") + 1) if tops else F.lit(None).cast("int")
     h = F.xxhash64(F.lit(SEED), "_id", "_k")
-    placed = pieces.where(n > 0).select("*", bucket.alias("_b"), h.alias("_h"), F.shiftrightunsigned(h, 64 - BITS).alias("_bin"))
+    # Equal pieces are one row until they are placed: those of a null or repeated id would share a bin.
+    same = pieces.where(n > 0).groupBy("_id", "_k", "_n").agg(F.count(F.lit(1)).alias("_m"))
+    placed = same.select("*", bucket.alias("_b"), h.alias("_h"), F.shiftrightunsigned(h, 64 - BITS).alias("_bin"))
     # At most 2 ** BITS counts for each bucket, whatever the input.
-    starts = placed.groupBy("_b", "_bin").count().select("_b", "_bin", (F.sum("count").over(Window.partitionBy("_b").orderBy("_bin")) - F.col("count")).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_b", "_bin").orderBy("_h", "_id", "_k")) - 1
-    ranked = placed.withColumn("_in", within).join(starts, ["_b", "_bin"]).withColumn("_at", F.col("_start") + F.col("_in"))
+    starts = placed.groupBy("_b", "_bin").agg(F.sum("_m").alias("_c")).select("_b", "_bin", (F.sum("_c").over(Window.partitionBy("_b").orderBy("_bin")) - F.col("_c")).alias("_start"))
+    before = F.sum("_m").over(Window.partitionBy("_b", "_bin").orderBy("_h", "_id", "_k", "_n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")
+    ranked = placed.withColumn("_in", before).join(starts, ["_b", "_bin"]).withColumn("_at", F.explode(F.sequence(F.col("_start") + F.col("_in"), F.col("_start") + F.col("_in") + F.col("_m") - 1)))
     size = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / length)).cast("long")
     cols = [F.col("_id").alias(id_col), k.alias("piece"), n.alias("n_tokens")]
     some = ranked.select(*cols, F.col("_b").alias("bucket"), length.alias("bucket_len"), F.floor(F.col("_at") / size).alias("batch"), (F.col("_at") % size).cast("int").alias("slot"))
