@@ -198,7 +198,7 @@ def _features(payloads: list[bytes]) -> list[str]:
 
 OUTPUTS = {
     "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long",
-    "media_sha256": "string", "feature": "string", "media": "binary", "pcm": "binary",
+    "media_sha256": "string", "feature": "string", "pcm_bytes": "long", "pcm_sha256": "string", "media": "binary", "pcm": "binary",
 }
 DIGESTS = tuple(k for k in OUTPUTS if k not in ("media", "pcm"))
 
@@ -206,7 +206,8 @@ DIGESTS = tuple(k for k in OUTPUTS if k not in ("media", "pcm"))
 def audio_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs: Sequence[str] = tuple(OUTPUTS)) -> DataFrame:
     """Store each text's bytes as a mu-law WAV, read it back, decode and describe it.
 
-    ``media`` is the stored file and ``pcm`` the resampled 16-bit WAV; ask for
+    ``media`` is the stored file and ``pcm`` the resampled 16-bit WAV, which
+    ``pcm_bytes`` and ``pcm_sha256`` describe; ask for
     fewer ``outputs`` where only digests or features are needed.
     """
     want = list(outputs)
@@ -228,8 +229,9 @@ def audio_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols["feature"] = _features([a.data for a in held])
             if "media" in want:
                 cols["media"] = media
-            if "pcm" in want:
-                cols["pcm"] = [wav(to_rate(decode(a), a.rate).astype("<i2").tobytes(), "pcm", PCM_RATE) for a in held]
+            if {"pcm", "pcm_bytes", "pcm_sha256"} & set(want):
+                pcm = [wav(to_rate(decode(a), a.rate).astype("<i2", copy=False).tobytes(), "pcm", PCM_RATE) for a in held]
+                cols |= {"pcm": pcm, "pcm_bytes": [len(p) for p in pcm], "pcm_sha256": [hashlib.sha256(p).hexdigest() for p in pcm]}
             kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[c], kinds[OUTPUTS[c]]) for c in want)], names=[id_col, *want])
 
