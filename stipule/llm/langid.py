@@ -8,12 +8,21 @@ response costs one or two look-ups.  The windows of a text tile it whole; its
 logits are the mean of theirs, weighted by their bytes.
 
 The network is trained in numpy with Adam on at most ``per_language`` texts of
-each language (at most ``MAX_LANGUAGES``), picked by a seeded hash of the id.
-Of each it learns from two slices only, at the start and the middle, each of at
-most ``SLICE`` characters cut to ``WINDOW`` bytes; prediction reads whole texts.
+each language, fewer where there are so many languages that they would exceed
+``SAMPLE`` texts in all, picked by a seeded hash of the id.  Every language is
+learned.  From each text it learns ``DRAWN`` windows at seeded places anywhere in
+the whole text; prediction reads whole texts.
+
+One more class stands for what is in no language: windows with their bytes
+shuffled, with one or two characters only, or of random letters, as many as a
+language has, and at least ``LEAST_NONE``.  It has no part in a prediction or its score; :func:`accepted` rejects
+texts for which it outweighs every language, if they have ``ENOUGH`` bytes: in a
+shorter one a single number or key may outweigh the words around it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-without any labelled text everything is ``und``; rows with a null language or id
+without any labelled text everything is ``und``; the languages ``und`` and the empty
+one name none and are not learned; more languages than ``SAMPLE`` are
+an error, as each needs a text; rows with a null language or id
 are never learned from; repeated rows give repeated results; other columns are
 ignored, or kept where a filter returns whole rows.
 """
@@ -25,21 +34,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stipule.llm.common import arrow_map, crc_mod, small_batches, table, text_bytes
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 128
-PER_LANGUAGE, MAX_LANGUAGES, SLICE, HELD_MOD, HELD = 1200, 200, 160, 4, 2
-EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 11
+PER_LANGUAGE, SAMPLE, DRAWN, HELD_MOD, HELD = 1200, 240_000, 2, 4, 2
+#: Small samples are gone over until ``STEPS`` steps are made.
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 300, 128, 0.01, 11
 #: Windows looked up together: the responses of one width take 4 MB.
 AT_ONCE = 1024
-UNKNOWN = "und"
+UNKNOWN, ENOUGH, LEAST_NONE = "und", 2 * WINDOW, 300
 
 
 class Network(NamedTuple):
-    """Filter tables by width (width, 256, filters), softmax weights and languages."""
+    """Filter tables by width (width, 256, filters), softmax weights and languages; the last column is no language."""
 
     tables: tuple[np.ndarray, ...]
     dense: np.ndarray
@@ -66,18 +77,20 @@ def responses(net: Network, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarr
 
 
 def train(texts: list[bytes], names: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """Fit the network on slices of labelled text."""
+    """Fit the network on windows of labelled text."""
     languages = tuple(sorted(set(names)))
     label_of = {n: k for k, n in enumerate(languages)}
     rng = np.random.default_rng(seed)
-    parts = [windows(t[:SLICE]) for t in texts]
+    parts = [windows(t) for t in texts]
     rows = np.concatenate([*parts, np.zeros((0, WINDOW), np.uint8)])
     label = np.repeat([label_of[n] for n in names], [len(p) for p in parts]).astype(int)
+    none = _no_language(rows, max(LEAST_NONE, -(-len(rows) // max(len(languages), 1))), rng)
+    rows, label = np.concatenate([rows, none]), np.concatenate([label, np.full(len(none), len(languages))])
     tables = tuple(rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS)
-    net = Network(tables, rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))).astype(np.float32), np.zeros(len(languages), np.float32), languages)
+    net = Network(tables, rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages) + 1)).astype(np.float32), np.zeros(len(languages) + 1, np.float32), languages)
     params = [*net.tables, net.dense, net.bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // max(len(rows), BATCH)))):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             step += 1
@@ -86,9 +99,25 @@ def train(texts: list[bytes], names: list[str], *, epochs: int = EPOCHS, seed: i
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    if len(none):  # as if it had as many windows as a language
+        net.bias[-1] -= np.log(len(none) * len(languages) / max(len(rows) - len(none), 1))
     return net
 
 
+def _no_language(rows: np.ndarray, many: int, rng: np.random.Generator) -> np.ndarray:
+    """Windows without language: shuffled ones, runs of one or two characters, random letters."""
+    out = rows[rng.integers(0, len(rows), many)].copy() if len(rows) else rows.copy()
+    for k, row in enumerate(out):
+        n = int((row > 0).sum())
+        if k % 3 == 0:
+            rng.shuffle(row[:n])
+        elif k % 3 == 1:
+            row[:n] = rng.choice(rng.integers(33, 127, 2), n)
+        else:
+            row[:n] = rng.integers(97, 123, n) - 32 * (k % 2)
+    return out
+
+
 def _gradient(net: Network, rows: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
     top, places = responses(net, rows)
     held = np.maximum(top, 0)
@@ -137,7 +166,11 @@ class Applied:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each whole text."""
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each whole text, and whether it is in a language at all."""
+        langs, scores, fine = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         asked = [k for k, t in enumerate(texts) if t and self.net.languages and any(map(str.isalpha, t))]
         group: list[int] = []
         size = 0
@@ -145,21 +178,24 @@ class Applied:
             group.append(k)
             size += len(texts[k])
             if size > AT_ONCE * WINDOW:
-                self._group(texts, group, langs, scores)
+                self._group(texts, group, langs, scores, fine)
                 group, size = [], 0
         if group:
-            self._group(texts, group, langs, scores)
-        return langs, scores
+            self._group(texts, group, langs, scores, fine)
+        return langs, scores, fine
 
-    def _group(self, texts: list, group: list[int], langs: list[str], scores: list[float]) -> None:
+    def _group(self, texts: list, group: list[int], langs: list[str], scores: list[float], fine: list[bool]) -> None:
         data = [text_bytes(texts[k]) for k in group]
         parts = [windows(d) for d in data]
         weight = np.concatenate([np.minimum(len(d) - WINDOW * np.arange(len(p)), WINDOW) for d, p in zip(data, parts, strict=True)])
         starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
         sums = np.add.reduceat(self.logits(np.concatenate(parts)) * weight[:, None], starts)
-        share = _softmax(sums / np.array([len(d) for d in data])[:, None])
-        for k, best, top in zip(group, share.argmax(axis=1), share.max(axis=1), strict=True):
-            langs[k], scores[k] = self.net.languages[best], float(min(1.0, top))
+        mean = sums / np.array([len(d) for d in data])[:, None]
+        none, mean = mean[:, -1], mean[:, :-1]
+        share = _softmax(mean)
+        told = (mean.max(axis=1) >= none) | (np.array([len(d) for d in data]) < ENOUGH)
+        for k, best, top, ok in zip(group, share.argmax(axis=1), share.max(axis=1), told, strict=True):
+            langs[k], scores[k], fine[k] = self.net.languages[best], float(min(1.0, top)), bool(ok)
 
 
 def _largest(x: np.ndarray) -> np.ndarray:
@@ -170,55 +206,50 @@ def _largest(x: np.ndarray) -> np.ndarray:
     return x[:, 0]
 
 
-def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[dict[str, int], DataFrame]:
-    """Rows of each language, and a seeded sample of those that are not held out.
+def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[int, DataFrame]:
+    """How many texts a language may give, and a seeded sample of those that are not held out, somewhat larger.
 
     One pass counts the languages; the next keeps rows by a hash threshold set
     for each language, so no language's rows are gathered or ranked.
     """
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("_l")).where(
-        F.col("_t").isNotNull() & F.col("_l").isNotNull() & (crc_mod("_id", HELD_MOD) != HELD)
+        F.col("_t").isNotNull() & ~F.col("_l").isin("", UNKNOWN) & (crc_mod("_id", HELD_MOD) != HELD)
     )
-    counts = {r["_l"]: r["count"] for r in usable.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return counts, usable.withColumn("_p", F.lit(0.0)).limit(0)
-    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, 1.2 * per_language / n))])
+    counts = usable.groupBy("_l").count().limit(SAMPLE + 1).collect()  # a row for each language
+    if len(counts) > SAMPLE:
+        raise ValueError(f"{lang_col} has more than {SAMPLE} values")
+    most = min(per_language, SAMPLE // max(len(counts), 1))
+    shares = [(r["_l"], min(1.0, 1.2 * most / r["count"])) for r in counts]
     place = F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1 << 30)) / float(1 << 30)
-    return counts, usable.withColumn("_p", place).where(F.col("_p") < F.element_at(share, F.col("_l")))
+    small = F.broadcast(docs.sparkSession.createDataFrame(shares, "_l string, _share double"))  # at most SAMPLE rows
+    return most, usable.withColumn("_p", place).join(small, "_l").where(F.col("_p") < F.col("_share")).drop("_share")
+
+
+def _drawn(data: bytes) -> list[bytes]:
+    """Windows at places that the text itself seeds."""
+    last = max(len(data) - WINDOW, 0)
+    places = sorted({xxhash.xxh3_64_intdigest(data, seed=SEED + k) % (last + 1) for k in range(DRAWN)})
+    return [data[p : p + WINDOW] for p in places] if data else []
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> Network:
     """Train on a bounded, seeded sample of rows that are not held out."""
-    counts, sampled = _sampled(docs, id_col, text_col, lang_col, per_language)
-    if not counts:
-        return Network((), np.zeros((0, 0)), np.zeros(0), ())
-    middle = F.greatest(F.lit(1), (F.length("_t") / 2).cast("int"))
-    rows = (
-        sampled.select("_id", "_l", "_p", F.array(F.substring("_t", 1, SLICE), F.substring(F.col("_t"), middle, F.lit(SLICE))).alias("_s"))
-        .collect()  # at most about 1.2 * per_language * MAX_LANGUAGES slices
-    )
+    most, sampled = _sampled(docs, id_col, text_col, lang_col, per_language)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [_drawn(text_bytes(t.as_py())) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(parts, pa.list_(pa.binary()))], names=["_p", "_id", "_l", "_s"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = arrow_map(sampled, ["_p", "_id", "_l", "_t"], draw, f"_p double, _id {kind}, _l string, _s array<binary>").collect()  # at most about 1.2 * SAMPLE * DRAWN windows
     texts, names, had = [], [], {}
     for r in sorted(rows, key=lambda r: (r["_p"], r["_id"], r["_l"], r["_s"])):
         had[r["_l"]] = had.get(r["_l"], 0) + 1
-        if had[r["_l"]] <= per_language:
-            for s in r["_s"]:
-                texts.append(text_bytes(s)[:WINDOW])
-                names.append(r["_l"])
-    return train(texts, names)
-
-
-def least_score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> float:
-    """Half-way between chance and the lowest score of a whole labelled text of the training sample.
-
-    Held-out rows have no part in it.  With one language scores say nothing, and it is 0.
-    """
-    if len(net.languages) < 2:
-        return 0.0
-    _, rows = _sampled(docs, id_col, text_col, lang_col, per_language)
-    scored = predicted(rows, net, "_id", "_t").where(F.col("lang_pred") != UNKNOWN)
-    lowest = scored.agg(F.min("score")).first()[0]
-    chance = 1 / len(net.languages)
-    return 0.0 if lowest is None else (chance + lowest) / 2
+        if had[r["_l"]] <= most:
+            texts += r["_s"]
+            names += [r["_l"]] * len(r["_s"])
+    return train([bytes(t) for t in texts], names) if names else Network((), np.zeros((0, 0)), np.zeros(0), ())
 
 
 def predicted(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,10 +268,15 @@ def predicted(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     return out.select(id_col, held.alias("held_out"), "lang_pred", "score")
 
 
-def accepted(df: DataFrame, net: Network, text_col: str = "text", *, least: float = 0.0) -> DataFrame:
-    """The rows whose text has a language with more than ``least`` score, unchanged."""
+def accepted(df: DataFrame, net: Network, text_col: str = "text", *, lang_col: str | None = None) -> DataFrame:
+    """The rows whose text has letters and, as the network sees it, a language.
+
+    Where ``lang_col`` is null, empty or ``und`` it takes the language predicted;
+    nothing else changes.
+    """
     small_batches(df.sparkSession)
     at = df.columns.index(text_col)
+    to = df.columns.index(lang_col) if lang_col in df.columns and df.schema[lang_col].dataType.simpleString() == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net_at = Applied(net) if net.languages else None
@@ -248,8 +284,11 @@ def accepted(df: DataFrame, net: Network, text_col: str = "text", *, least: floa
             if net_at is None:
                 yield batch.slice(0, 0)
                 continue
-            langs, scores = net_at.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN and s > least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, _, fine = net_at.judge(batch.column(at).to_pylist())
+            if to is not None:
+                told = [x if held in (None, "", UNKNOWN) else held for held, x in zip(batch.column(to).to_pylist(), langs, strict=True)]
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:to], pa.array(told, batch.column(to).type), *batch.columns[to + 1 :]], schema=batch.schema)
+            yield batch.filter(pa.array(fine, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
