@@ -14,18 +14,29 @@ from stipule.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; texts without letters, null texts, and texts scored near chance go."""
-    net = langid.fit(docs)
-    return langid.accepted(docs, net, least=langid.least_score(docs, net))
+    """Documents whose language the network tells; where ``lang`` is null, empty or ``und`` it becomes that one.
+
+    Texts without letters, null texts, and texts that the network sees in no language
+    go.  Rows of null id or language are judged by their
+    text like others; repeated rows stay or go together; an empty table stays empty.
+    """
+    return langid.accepted(docs, langid.fit(docs), lang_col="lang")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near-duplicates."""
+    """One document, that of least id, of each group of near-duplicates.
+
+    Rows without words, and rows of null id, stay; a repeated row stays once; an
+    empty table stays empty.
+    """
     return minhash.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by the name of its kind; ``n_chars`` follows the text."""
+    """Personal data replaced by the name of its kind; ``n_chars`` follows the text.
+
+    All rows stay; null and empty texts, and ``n_chars`` of null texts, stay as they are.
+    """
     out = pii.redacted(docs)
     if "n_chars" in out.columns:
         kind = out.schema["n_chars"].dataType
@@ -34,12 +45,20 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mixture takes them: once for each epoch of their leaf."""
+    """Documents as the mixture takes them: once for each epoch of their leaf.
+
+    Null languages and sources are leaves of their own; rows of equal id in a leaf, or
+    of null id, go together; a table without any word gives no rows.
+    """
     return mixing.mixed(docs).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches for every piece of every document."""
+    """Length buckets and batches for every piece of every document.
+
+    Null and empty texts give one row without a bucket; null ids and repeated rows are
+    packed like others; an empty table gives no rows.
+    """
     return packing.packed(docs)
 
 
