@@ -8,7 +8,8 @@ squared change of the score between a text and its copy, so neutral mentions of
 a group do not raise a score.
 
 Training uses at most ``sample`` labelled rows, those with the smallest seeded
-hash of their id, so the model is the same however the table is split.  It then
+hash of their id, so the model is the same however the table is split.  Features are
+counted and laid out in the executors; the driver gets numbers only.  The model then
 scores every whole text.  Texts of equal words score equally.
 
 Defined results: null and empty texts have no features and get the score of the
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipule.llm.common import arrow_map, crc_mod, small_batches, table
+from stipule.llm.common import arrow_map, crc_mod, dropped, table, written
 
 # Identity terms, grouped by what may stand for each other.
 IDENTITY = (
@@ -104,41 +105,62 @@ def counterfactual(words: list[str]) -> list[str] | None:
     return turned if turned != words else None
 
 
+Row = tuple[list[int], list[float], list[int], list[float]]
+
+
+def _bags(text: str | None) -> tuple[dict[str, int], dict[str, int] | None]:
+    """The features of a text, and those of its copy with swapped identity terms."""
+    words = WORD.findall((text or "").lower())
+    other = counterfactual(words)
+    return _bag(words), None if other is None else _bag(other)
+
+
+def _counted(seen: dict[str, list[int]], bag: dict[str, int], other: dict[str, int] | None, label: int) -> None:
+    for w in bag:
+        seen.setdefault(w, [0, 0])[label] += 1
+    for w in other or ():
+        seen.setdefault(w, [0, 0])
+
+
+def _swapped_features() -> set[str]:
+    return {f for term in _swaps() for f in features(term)}
+
+
+def _row(bag: dict[str, int], other: dict[str, int] | None, column: dict[str, int]) -> Row:
+    """Columns and damped counts of a text, and those in which its copy differs."""
+    known = [w for w in bag if w in column]
+    gaps = [(column[w], d) for w in sorted({*bag, *other}) if w in column and (d := (_damp(bag[w]) if w in bag else 0.0) - (_damp(other[w]) if w in other else 0.0))] if other is not None else []
+    return [column[w] for w in known], [_damp(bag[w]) for w in known], [c for c, _ in gaps], [d for _, d in gaps]
+
+
+def _constant(n: int, yes: int) -> Model:
+    """What is left without any telling feature, or with one label only."""
+    share = (yes + 0.5) / (n + 1) if n else 0.5
+    return Model({}, math.log(share / (1 - share)))
+
+
+def _solved(names: list[str], rows: list[Row], labels: list[int], pull: float, decay: float, rounds: int) -> Model:
+    gather = lambda k: np.array([v for r in rows for v in r[k]])
+    at = lambda k: np.repeat(np.arange(len(rows)), [len(r[k]) for r in rows])
+    return _descend(len(rows), names, np.array(labels, float), (at(0), gather(0).astype(int), gather(1)), (at(2), gather(2).astype(int), gather(3)), pull, decay, rounds)
+
+
 def fit(texts: list[str | None], labels: list[int], *, pull: float = PULL, decay: float = DECAY, rounds: int = ROUNDS, min_docs: int = MIN_DOCS, least_z: float = LEAST_Z) -> Model:
     """Train on labelled texts; ``rounds`` steps over all of them.
 
     Features in fewer than ``min_docs`` texts get no weight, nor do those whose
     share of label 1 is within ``least_z`` standard errors of the overall share.
     """
-    counts = []
-    for t in texts:
-        words = WORD.findall((t or "").lower())
-        bags = [words, counterfactual(words)]
-        counts.append([None if b is None else _bag(b) for b in bags])
+    bags = [_bags(t) for t in texts]
     seen: dict[str, list[int]] = {}
-    for (bag, other), label in zip(counts, labels, strict=True):
-        for w in bag:
-            seen.setdefault(w, [0, 0])[label] += 1
-        for w in other or ():
-            seen.setdefault(w, [0, 0])
-    share = sum(labels) / max(len(labels), 1)
-    swaps = {f for term in _swaps() for f in features(term)}
+    for (bag, other), label in zip(bags, labels, strict=True):
+        _counted(seen, bag, other, label)
+    share, swaps = sum(labels) / max(len(labels), 1), _swapped_features()
     names = sorted(w for w, (no, yes) in seen.items() if w in swaps or no + yes >= min_docs and _telling(no, yes, share, least_z))
-    if not names or not labels or len(set(labels)) < 2:
-        share = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.5
-        return Model({}, math.log(share / (1 - share)))
+    if not names or len(set(labels)) < 2:
+        return _constant(len(labels), sum(labels))
     column = {w: k for k, w in enumerate(names)}
-    rows, cols, vals, diff = [], [], [], ([], [], [])
-    for i, (bag, other) in enumerate(counts):
-        for w, n in bag.items():
-            if w in column:
-                rows.append(i), cols.append(column[w]), vals.append(_damp(n))
-        if other is not None:
-            for w in sorted({*bag, *other}):
-                d = (_damp(bag[w]) if w in bag else 0.0) - (_damp(other[w]) if w in other else 0.0)
-                if d and w in column:
-                    diff[0].append(i), diff[1].append(column[w]), diff[2].append(d)
-    return _descend(len(texts), names, np.array(labels, float), (np.array(rows), np.array(cols), np.array(vals)), tuple(map(np.array, diff)), pull, decay, rounds)
+    return _solved(names, [_row(bag, other, column) for bag, other in bags], labels, pull, decay, rounds)
 
 
 def _telling(no: int, yes: int, share: float, least_z: float) -> bool:
@@ -196,14 +218,63 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64(F.lit(17), "_id"), "_id", "_y")
         .limit(sample)
     )
-    small_batches(docs.sparkSession)
-    rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-        .join(F.broadcast(known), "_id")
-        .toPandas()  # at most `sample` labels and their texts
-        .sort_values(["_id", "_y"], kind="stable")
-    )
-    return fit([t if isinstance(t, str) else None for t in rows["_t"]], [int(v) for v in rows["_y"]])
+    held = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(known), "_id")
+    held = written(held.select("_id", "_y", "_t"), "labelled")
+    model = _trained(held)
+    dropped(held)
+    return model
+
+
+#: Features that a task counts before it hands them on.
+FLUSH = 200_000
+
+
+def _trained(held: DataFrame) -> Model:
+    """The model of labelled rows ``(_id, _y, _t)``, as :func:`fit` makes it, from features built where the texts are.
+
+    Only counts of telling features, and what the rows hold of them, reach the driver.
+    """
+    total = held.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("yes")).first()
+    n, yes = total["n"], int(total["yes"] or 0)
+    if yes in (0, n):
+        return _constant(n, yes)
+    share, swaps = yes / n, _swapped_features()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], names=["f", "no", "yes"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _counted(seen, *_bags(text), label)
+                if len(seen) > FLUSH:
+                    yield flush()
+        yield flush()
+
+    sums = arrow_map(held, ["_y", "_t"], count, "f string, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    many = F.col("no") + F.col("yes")
+    far = F.abs(F.col("yes") - many * share) >= LEAST_Z * F.sqrt(many * share * (1 - share)) - 1e-9
+    # Each kept feature is in MIN_DOCS of the sample's rows, or part of an identity term.
+    kept = sums.where(F.col("f").isin(*sorted(swaps)) | (many >= MIN_DOCS) & far).collect()
+    names = sorted(r["f"] for r in kept if r["f"] in swaps or _telling(r["no"], r["yes"], share, LEAST_Z))
+    if not names:
+        return _constant(n, yes)
+    column = {w: k for k, w in enumerate(names)}
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_row(*_bags(text), column) for text in batch.column(2).to_pylist()]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[k] for m in made], t) for k, t in enumerate(kinds))], names=["_id", "_y", "a", "b", "c", "d"])
+
+    kind = held.schema["_id"].dataType.simpleString()
+    rows = arrow_map(held, ["_id", "_y", "_t"], rows_of, f"_id {kind}, _y int, a array<int>, b array<double>, c array<int>, d array<double>").collect()
+    rows.sort(key=lambda r: (r["_id"], r["_y"], r["a"]))
+    return _solved(names, [(r["a"], r["b"], r["c"], r["d"]) for r in rows], [r["_y"] for r in rows], PULL, DECAY, ROUNDS)
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, held_mod: int = HELD_MOD) -> DataFrame:
