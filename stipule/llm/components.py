@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stipule.llm.common import dropped, written
+from stipule.llm.common import dropped, spread_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every vertex to its least neighbour, follows the hooks to
     their roots by doubling, and contracts the edges to roots.  Every root left
     is least among its neighbours, so the vertices at least halve each round;
-    stars, which near-copies form, take one.  Neighbours are only ever
-    aggregated, so a vertex of any degree is no burden on one task.
+    stars, which near-copies form, take one.  Neighbours are aggregated, and where
+    edges or hooks are joined those of a frequent vertex are spread, so a vertex of
+    any degree is no burden on one task.
     """
     left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     total: DataFrame | None = None
@@ -25,13 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         if total is None:
             total = root
         else:
-            known = total.withColumnRenamed("c", "r").join(root.select(F.col("v").alias("r"), F.col("c").alias("c2")), "r", "left")
+            known = spread_join(total.withColumnRenamed("c", "r"), root.select(F.col("v").alias("r"), F.col("c").alias("c2")), ["r"], ["v"], how="left")
             total, old = written(known.select("v", F.coalesce("c2", "r").alias("c")), "components"), total
             dropped(old)
         at = lambda side: root.select(F.col("v").alias(side), F.col("c").alias(f"c_{side}"))
-        after = left.join(at("a"), "a").join(at("b"), "b").select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).where("a < b").distinct()
+        half = written(spread_join(left, at("a"), ["a"], ["b"]), "edges")
+        after = spread_join(half, at("b"), ["b"], ["a"]).select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).where("a < b").distinct()
         left, old = written(after, "edges"), left
         dropped(old)
+        dropped(half)
         if root is not total:
             dropped(root)
     dropped(left)
@@ -44,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _rooted(hooks: DataFrame) -> DataFrame:
     """Follow hooks ``(v, c)`` until every vertex points to a root."""
     while True:
-        jump = hooks.join(hooks.select(F.col("v").alias("c"), F.col("c").alias("c2")), "c").select("v", F.col("c2").alias("c"), (F.col("c") != F.col("c2")).alias("moved"))
+        jump = spread_join(hooks.select("v", "c"), hooks.select(F.col("v").alias("c"), F.col("c").alias("c2")), ["c"], ["v"]).select("v", F.col("c2").alias("c"), (F.col("c") != F.col("c2")).alias("moved"))
         new = written(jump, "hooks")
         moved = not new.where("moved").isEmpty()
         dropped(hooks)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipule.llm.common import arrow_map, dropped, table, text_bytes, written
+from stipule.llm.common import arrow_map, dropped, spread_join, table, text_bytes, written
 from stipule.llm.components import components
 from stipule.llm.sketch import MIX, REGISTERS, Shingler, estimated, mixed, registers, slack
 
@@ -103,7 +103,8 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = _promising(_sketches(batch, 3), _sketches(batch, 5), na, nb, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    # Many pairs have one ``b``, the least member of a bucket.
+    joined = spread_join(pairs, side("b"), ["b"], ["a"]).join(side("a"), "a")
     return arrow_map(joined, ["a", "b", "n_a", "r_a", "n_b", "r_b"], run, "a long, b long")
 
 
@@ -132,7 +133,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b"), ["a", "b", "s_a", "s_b"], run, "a long, b long")
+    joined = spread_join(pairs, side("b"), ["b"], ["a"]).join(side("a"), "a")
+    return arrow_map(joined, ["a", "b", "s_a", "s_b"], run, "a long, b long")
 
 
 class _Roots:
@@ -232,22 +234,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = written(least.join(sketch, ["id", "_key"]).dropDuplicates(["id", "_key"]), "classes")
     bands = banded(classes)
     buckets = bands.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("q"), F.count(F.lit(1)).alias("m")).where("p < q")
-    members = written(bands.join(buckets.select("k", "p", "m"), "k"), "members")
-    pairs = members.where("id > p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
+    buckets = written(buckets, "buckets")
+    members = written(spread_join(bands, buckets.select("k", "p", "m"), ["k"], ["id"], buckets.select("k", F.col("m").alias("_m"))), "members")
+    pairs = written(members.where("id > p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct(), "met")
     near = written(promising(pairs, classes, percent), "pairs")
     wanted = members.where("m > 2").select("id").union(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
     sets = written(full_sets(texts, width), "sets")
     if not usable.groupBy("_id").count().where("count > 1").isEmpty():
-        sets = written(sets.distinct(), "sets")
+        again, sets = sets, written(sets.distinct(), "sets")
+        dropped(again)
     first = components(confirmed(near, sets, percent))
     others = members.where("m > 2 and id > p").select("k", "id").join(first.select(F.col("v").alias("id"), "c"), "id", "left")
     second = components(within_buckets(others.select("k", "id", F.coalesce("c", "id").alias("c")), classes, sets, percent))
-    for done in (members, near):
-        dropped(done)
     label = classes.select("id", "_key").join(first.select(F.col("v").alias("id"), "c"), "id", "left").select("_key", F.coalesce("c", "id").alias("c"))
-    label = label.join(second.select(F.col("v").alias("c"), F.col("c").alias("c2")), "c", "left").select("_key", F.coalesce("c2", "c").alias("_c"))
-    out = feats.select("_id", "_n", "_key").join(label, "_key", "left")
+    label = spread_join(label, second.select(F.col("v").alias("c"), F.col("c").alias("c2")), ["c"], ["_key"], how="left")
+    label = written(label.select("_key", F.coalesce("c2", "c").alias("_c")), "labels")
+    out = written(spread_join(feats.select("_id", "_n", "_key"), label, ["_key"], ["_id"], how="left"), "verdict")
+    for done in (feats, classes, buckets, members, pairs, near, sets, first, second, label):
+        dropped(done)
     component = F.when(F.col("_id").isNotNull(), F.coalesce("_c", "_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("_id"), F.lit(True)).alias("kept"))
 
