@@ -16,9 +16,11 @@ with which the second round prunes all others.
 
 Equal vectors are one entry with its ``k + 1`` smallest ids, which answer for
 the rest in every ranking.  Cells are searched in groups of at most about
-``CELL_ROWS`` vectors and chunks of at most about ``CHUNK`` queries.
+twice ``CELL_ROWS`` vectors and chunks of about ``CHUNK`` queries.  A cell's vectors
+are shuffled once for each chunk of the queries that are sent to it, so not at
+all where none is.
 
-Defined results: vectors that are null, zero, or hold null or non-finite
+Defined results: rows that repeat an id count as one, that of least bytes; vectors that are null, zero, or hold null or non-finite
 components, and those of another length than the most common one, take no part,
 nor do rows of null id; with fewer candidates all are returned; an empty table
 gives no rows; other columns are ignored.
@@ -36,11 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stipule.llm.common import arrow_map, table, written
+from stipule.llm.common import arrow_map, dropped, spread_join, table, written
 
 K, QUERY_MOD = 20, 20
 DIMS, CONFIDENCE, SEED = 8, 0.95, 3
-CELL_ROWS, LEAF_ROWS, MAX_CELLS, SAMPLE, FIRST, CHUNK = 2048, 64, 65_536, 40_000, 3, 16_384
+CELL_ROWS, LEAF_ROWS, MAX_CELLS, SAMPLE, FIRST, CHUNK = 2048, 128, 65_536, 40_000, 3, 16_384
+#: Distances of queries to cells that are held at once: 16 MB.
+AT_ONCE = 1 << 21
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -199,6 +203,11 @@ class Cell:
                 n = order[rows[0], step]
                 part = slice(self.starts[n], self.starts[n + 1])
                 scores = q[rows] @ self.x[part].T
+                # Most leaves better few queries: only those are ranked anew.
+                better = scores.max(axis=1) >= np.maximum(best[rows, -1], worst[rows])
+                if not better.any():
+                    continue
+                rows, scores = rows[better], scores[better]
                 joint = np.concatenate([best[rows], scores], axis=1)
                 names = np.concatenate([whom[rows], np.broadcast_to(self.ids[part], scores.shape)], axis=1)
                 top = np.lexsort((names, -joint), axis=1)[:, :k]
@@ -299,6 +308,9 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     found, kind = vectors(df, id_col, vec_col)
     rows = written(found, "vectors")
     spark = df.sparkSession
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        again, rows = rows, written(rows.groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
+        dropped(again)
     classes = written(distinct_vectors(rows, k + 1), "distinct")
     few = classes.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE)
     sample = np.array([np.frombuffer(r["vec"], kind) for r in few.collect()], float)
@@ -331,51 +343,49 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     boxes = sorted(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *edges).collect())  # at most about MAX_CELLS rows
     low = np.array([[b[f"l{d}"] for d in range(DIMS)] for b in boxes])
     high = np.array([[b[f"h{d}"] for d in range(DIMS)] for b in boxes])
-    number, subs = np.array([b["cell"] for b in boxes]), np.array([-(-b["n"] // (2 * CELL_ROWS)) for b in boxes])
-
+    number, subs = np.array([b["cell"] for b in boxes]), {b["cell"]: -(-b["n"] // (2 * CELL_ROWS)) for b in boxes}
     asked = rows.where(queries)
-    chunks = max(1, -(-asked.count() // CHUNK))
-    chunk = lambda c: F.pmod(F.xxhash64(F.lit(SEED + 1), c), F.lit(chunks)).cast("int")
-    pieces = F.create_map(*[F.lit(int(v)) for b, s in zip(boxes, subs, strict=True) if s > 1 for v in (b["cell"], s)]) if (subs > 1).any() else None
-    sub = F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), F.coalesce(F.element_at(pieces, F.col("cell")), F.lit(1))).cast("int") if pieces is not None else F.lit(0)
-    data = placed.select("cell", sub.alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(0).alias("kind"), "id", "vec", F.lit(None).cast("double").alias("worst"))
 
     def routed(first: bool):
+        def sent(q: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            far = box_distance(low, high, space.query(q))
+            near = np.zeros(far.shape, bool)
+            np.put_along_axis(near, far.argsort(axis=1, kind="stable")[:, :FIRST], True, 1)
+            if first:
+                return np.nonzero(near)
+            limit = np.where(np.isnan(worst), np.inf, factor * space.squared(worst, space.scale(q)))
+            return np.nonzero(~near & (far <= limit[:, None]))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, AT_ONCE // len(low))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                q = space.vectors(batch.column(1))
-                far = box_distance(low, high, space.query(q))
-                near = np.zeros(far.shape, bool)
-                np.put_along_axis(near, far.argsort(axis=1, kind="stable")[:, :FIRST], True, 1)
-                if first:
-                    go = near
-                else:
-                    worst = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-                    limit = np.where(np.isnan(worst), np.inf, factor * space.squared(worst, space.scale(q)))
-                    go = ~near & (far <= limit[:, None])
-                who, where = np.nonzero(go)
-                many = subs[where]
-                who, where = np.repeat(who, many), np.repeat(where, many)
-                part = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
-                take = batch.take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([pa.array(number[where].astype(np.int32)), pa.array(part.astype(np.int32)), take.column(0), take.column(1), take.column(2)], names=["cell", "sub", "id", "vec", "worst"])
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    who, where = sent(space.vectors(part.column(1)), part.column(2).to_numpy(zero_copy_only=False).astype(float))
+                    take = part.take(pa.array(who))
+                    yield pa.RecordBatch.from_arrays([pa.array(number[where].astype(np.int32)), *take.columns], names=["cell", "id", "vec", "worst"])
 
         return run
 
     def round_of(ask: DataFrame, first: bool) -> DataFrame:
-        to = arrow_map(ask, ["id", "vec", "worst"], routed(first), "cell int, sub int, id long, vec binary, worst double")
-        to = to.select("cell", "sub", chunk("id").alias("chunk"), F.lit(1).alias("kind"), "id", "vec", "worst")
-        return searched(data.unionByName(to), space, k + 1, factor)
-
-    one = written(round_of(asked.withColumn("worst", F.lit(None).cast("double")), True), "first")
+        to = written(arrow_map(ask, ["id", "vec", "worst"], routed(first), "cell int, id long, vec binary, worst double"), "routed")
+        used = [(r["cell"], int(subs[r["cell"]]), -(-r["count"] // CHUNK)) for r in to.groupBy("cell").count().collect()]  # a row a cell
+        plan = F.broadcast(spark.createDataFrame(used, "cell int, subs int, chunks int"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+        data = placed.join(plan, "cell").withColumn("sub", deal(SEED + 2, "subs")).select("cell", "sub", each("chunks").alias("chunk"), F.lit(0).alias("kind"), "id", "vec", F.lit(None).cast("double").alias("worst"))
+        sent = to.join(plan, "cell").withColumn("chunk", deal(SEED + 1, "chunks")).select("cell", each("subs").alias("sub"), "chunk", F.lit(1).alias("kind"), "id", "vec", "worst")
+        out = written(searched(data.unionByName(sent), space, k + 1, factor), "found")
+        dropped(to)
+        return out
+
+    one = round_of(asked.withColumn("worst", F.lit(None).cast("double")), True)
     # At most (k + 1) * FIRST scores for each query and group.  Its own row may be among the k + 1.
     bound = one.groupBy("q").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("q").alias("id"), F.when(F.size("s") > k, F.element_at("s", k + 1)).alias("worst"))
     two = round_of(asked.join(bound, "id", "left"), False)
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     both = one.unionByName(two).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    named = both.join(classes.select("id", "ids"), "id").select(F.col("q").alias("query_id"), "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
+    named = spread_join(written(both, "best"), classes.select("id", "ids"), ["id"], ["q"]).select(F.col("q").alias("query_id"), "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return named.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
