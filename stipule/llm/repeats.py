@@ -12,10 +12,12 @@ least id go whole.  Of the distinct texts:
    and a window whose longest previous factor in a smaller document has full
    length is marked.
 3. An anchor in more than ``HEAVY`` texts is not gathered: equal runs are settled
-   by aggregating their digests, and the windows of the differing ones likewise.
+   by aggregating their digests.  One run of each kind is left; up to ``KINDS`` of
+   them are gathered, and of more the windows are aggregated by their digests.
 
 Runs count as equal if anchor and digest agree, which for different ones has a
-probability of 2 ** -64 for each pair.
+probability of 2 ** -64 for each pair; texts by 64 bits, where only different texts
+that also share an anchor with no third one could be taken for one.
 
 Matches never cross documents, and overlapping ones are judged on the input.
 
@@ -38,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipule.llm.common import arrow_map, dropped, release, table, text_bytes, written
+from stipule.llm.common import arrow_map, dropped, hot_keys, shared, spread_join, table, text_bytes, written
 from stipule.llm.sketch import MIX, mixed
 from stipule.llm.suffixes import LENGTH, merged, repeated, runs, window_words
 from stipule.llm.suffixes import digests as digests_of
@@ -47,6 +49,8 @@ from stipule.llm.suffixes import digests as digests_of
 LOW_BITS, BUCKET_ANCHORS, LEAST_BITS = 40, 500_000, 8
 #: Texts of one anchor that are gathered in one task, and runs looked at together.
 HEAVY, CHUNK_ROWS = 500, 20_000
+#: Different runs of a frequent anchor that are gathered in one task: their windows take 15 MB.
+KINDS = 10_000
 #: Anchors a task collects before it writes them out, and rows it gives out at once.
 FLUSH, ROWS_OUT = 500_000, 50_000
 LOW = np.uint64((1 << LOW_BITS) - 1)
@@ -80,7 +84,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def _text_number(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) & int(LOW)
+    return int.from_bytes(xxhash.xxh3_64_digest(data), "little", signed=True)
 
 
 def _anchors(data: bytes, bits: int) -> np.ndarray:
@@ -99,13 +103,12 @@ def anchor_entries(df: DataFrame, text_col: str, bits: int) -> DataFrame:
         for batch in batches:
             for value in batch.column(0):
                 data = text_bytes(value.as_py())
-                number = _text_number(data)
-                if len(data) < LENGTH or number in seen:
+                if len(data) < LENGTH or (digest := xxhash.xxh3_128_digest(data)) in seen:
                     continue
-                seen.add(number)
+                seen.add(digest)
                 found = np.unique(_anchors(data, bits))
                 held.append(found)
-                own.append(number)
+                own.append(_text_number(data))
                 size += len(found)
                 if size >= FLUSH:
                     yield _entries(held, own, bits)
@@ -118,7 +121,7 @@ def anchor_entries(df: DataFrame, text_col: str, bits: int) -> DataFrame:
 
 def _entries(held: list[np.ndarray], own: list[int], bits: int) -> pa.RecordBatch:
     anchor = np.concatenate(held)
-    text = np.repeat(np.array(own, np.uint64), [len(h) for h in held])
+    text = np.repeat(np.array(own, np.int64).view(np.uint64), [len(h) for h in held])
     order = np.argsort(anchor, kind="stable")
     first = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
     many = np.diff(np.append(np.flatnonzero(first), len(anchor)))
@@ -133,7 +136,7 @@ def _entries(held: list[np.ndarray], own: list[int], bits: int) -> pa.RecordBatc
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for part, b in zip(np.split(pick, cuts), bucket[np.concatenate([[0], cuts])] if len(pick) else [], strict=False):
             high = (anchor[part] >> np.uint64(LOW_BITS)).astype("<u4").tobytes() if known else np.minimum(count[part], 65535).astype("<u2").tobytes()
-            rows.append((int(b), known, _packed(anchor[part] & LOW), _packed(text[part]), high))
+            rows.append((int(b), known, _packed(anchor[part] & LOW), text[part].astype("<u8").tobytes(), high))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
     kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "known", "anchors", "texts", "counts"])
@@ -150,7 +153,7 @@ def shared_anchors(entries: DataFrame) -> DataFrame:
 
     def bucket(number: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         anchor = np.concatenate([_unpacked(p[0]) for p in parts])
-        text = np.concatenate([_unpacked(p[1]) for p in parts])
+        text = np.concatenate([np.frombuffer(p[1], "<u8") for p in parts])
         count = np.concatenate([np.frombuffer(p[2], "<u2") for p in parts]).astype(np.int64)
         order = np.lexsort((text, anchor))
         anchor, text, count = anchor[order], text[order], count[order]
@@ -169,7 +172,7 @@ def shared_anchors(entries: DataFrame) -> DataFrame:
             for number, known, anchors, texts, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if known:
                     anchor = _unpacked(anchors) | np.frombuffer(extra, "<u4").astype(np.uint64) << np.uint64(LOW_BITS)
-                    yield from out(_unpacked(texts), anchor, np.zeros(0, np.uint64))
+                    yield from out(np.frombuffer(texts, "<u8"), anchor, np.zeros(0, np.uint64))
                     continue
                 if number != at and parts:
                     yield from bucket(at, parts)
@@ -345,26 +348,54 @@ def gathered(rows: DataFrame) -> DataFrame:
 
 
 def aggregated(rows: DataFrame) -> DataFrame:
-    """The same intervals for the runs of heavy anchors, by their digests, then those of their windows."""
+    """The same intervals for the runs of heavy anchors: by their digests, then of one run of each kind.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words, whose, place = _windows(batch.column(3))
-            one, two = np.zeros(len(whose), np.uint64), np.ones(len(whose), np.uint64)
-            for w in words:
-                one, two = mixed(one * MIX[0] + w), mixed(two * MIX[1] ^ w)
-            ids, texts, at = (batch.column(k).to_numpy(zero_copy_only=False)[whose] for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(at + place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "text", "s", "w1", "w2"])
-
-    least = rows.groupBy("anchor", "d").agg(F.min("id").alias("least"))
-    settled = written(rows.join(least, ["anchor", "d"]), "heavy")
+    No run's or window's rows meet in one task, however many there are.
+    """
+
+    def windows(rows: DataFrame, hot: list[tuple[int, int, int]]) -> DataFrame:
+        """``id, text, s, w1, w2`` of all windows of some runs, and the share of a frequent one that a row belongs to."""
+        often = np.array(sorted(hot), np.int64).reshape(-1, 3)
+
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                words, whose, place = _windows(batch.column(3))
+                one, two = np.zeros(len(whose), np.uint64), np.ones(len(whose), np.uint64)
+                for w in words:
+                    one, two = mixed(one * MIX[0] + w), mixed(two * MIX[1] ^ w)
+                one, two = one.view(np.int64), two.view(np.int64)
+                ids, texts, at = (batch.column(k).to_numpy(zero_copy_only=False)[whose] for k in range(3))
+                share = np.zeros(len(whose), np.int32)
+                if len(often):
+                    held = often[np.minimum(np.searchsorted(often[:, 0], one), len(often) - 1)]
+                    some = np.flatnonzero((held[:, 0] == one) & (held[:, 1] == two))
+                    share[some] = mixed((ids[some] * 31 + at[some] + place[some]).view(np.uint64)) % held[some, 2].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, texts, at + place, one, two, share)], names=["id", "text", "s", "w1", "w2", "_share"])
+
+        return arrow_map(rows, ["id", "text", "s", "held"], explode, "id long, text long, s long, w1 long, w2 long, _share int")
+
+    counted = F.count(F.lit(1)).alias("_m")
+    least = written(rows.groupBy("anchor", "d").agg(F.min("id").alias("least"), counted), "least")
+    kinds = least.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    told = written(spread_join(least, kinds, ["anchor"], ["d"], kinds.withColumnRenamed("kinds", "_m")), "kinds")
+    dropped(least)
+    settled = written(spread_join(rows, told.drop("_m"), ["anchor", "d"], ["id", "s"], told.select("anchor", "d", "_m")), "heavy")
+    dropped(told)
     whole = settled.where("id > least").select("id", "text", "s", "e")
-    windows = arrow_map(settled.where("id = least"), ["id", "text", "s", "held"], explode, "id long, text long, s long, w1 long, w2 long")
-    first = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    apart = windows.join(first, ["w1", "w2"]).where("id > least").select("id", "text", "s", (F.col("s") + LENGTH).alias("e"))
-    return whole.unionByName(apart)
+    # One run of each kind is left.  Few kinds of an anchor are compared like runs of a rare one.
+    left = settled.where("id = least")
+    few = left.where((F.col("kinds") > 1) & (F.col("kinds") <= KINDS))
+    some = gathered(few.select(F.lit(FEW).alias("kind"), "anchor", "d", "id", "text", F.col("s").alias("at"), (F.col("e") - F.col("s")).cast("int").alias("size"), "held")).select("id", "text", "s", "e")
+    differing, key = left.where(F.col("kinds") > KINDS), ["w1", "w2"]
+    first = written(windows(differing, []).groupBy(*key).agg(F.min("id").alias("least"), F.max("id").alias("most"), counted).where("least < most").drop("most"), "windows")
+    hot = hot_keys(first.drop("least"), key)
+    first = first.drop("_m")
+    dealt = [tuple(r) for r in hot.collect()] if hot is not None else []  # at most MOST_SPREAD
+    copies = shared(first, hot, key) if hot is not None else first.withColumn("_share", F.lit(0))
+    apart = windows(differing, dealt).join(copies, [*key, "_share"]).where("id > least").select("id", "text", "s", (F.col("s") + LENGTH).alias("e"))
+    return whole.unionByName(some).unionByName(apart)
 
 
 def removals(df: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
@@ -396,7 +427,6 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = sizes.agg(F.sum("n")).collect()[0][0] or 0
     bits = max(LEAST_BITS, math.ceil(math.log2(max(total, 1) / 18 / BUCKET_ANCHORS)))
     shared = written(shared_anchors(anchor_entries(df.where(F.col(id_col).isNotNull()), text_col, bits)), "shared")
-    release(df.sparkSession)
     heavy = shared.where("text is null").select("anchor").distinct().withColumn("heavy", F.lit(True))
     listed = shared.where("text is not null").join(heavy, "anchor", "left")
     # A text's anchors are fewer than its bytes.
@@ -407,15 +437,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = compressed(df.where(F.col(id_col).isNotNull()), id_col, text_col)
     found = written(gathered(run_rows(texts.join(wanted, ["id", "text"]), bits)), "found")
     dropped(shared)
-    del heavy, listed, by_text, first, wanted, texts
-    release(df.sparkSession)
     cuts, many = found.where("anchor is null").select("id", "text", "s", "e"), found.where("anchor is not null")
     if not many.isEmpty():
         cuts = cuts.unionByName(aggregated(many))
     left = written(removals(df, id_col, text_col, cuts).distinct(), "left")
     dropped(found)
     first = usable.groupBy("key").agg(F.min("id").alias("first"))
-    out = sizes.join(first, "key", "left").join(left, ["id", "text"], "left")
+    out = spread_join(sizes, first, ["key"], ["id"], how="left").join(left, ["id", "text"], "left")
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     pick = lambda whole, part, none: F.when(copy, whole).otherwise(F.coalesce(part, none))
     return out.select(
