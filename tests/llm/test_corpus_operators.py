@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from stipule.llm import minhash, mixing, neighbours, packing, repeats, sketch, suffixes
+from stipule.llm import common, minhash, mixing, neighbours, packing, repeats, sketch, suffixes
 from stipule.llm.components import components
 
 # Near-duplicates -------------------------------------------------------------
@@ -59,9 +59,19 @@ def test_near_duplicates(spark, width, monkeypatch):
     assert get() == want and len({c for _, c, _ in want.values()}) < len(rows) - 10
     if width == 4:
         monkeypatch.setattr(minhash, "BLOCK", 2)  # buckets in many blocks
+        monkeypatch.setattr(common, "SPREAD", 3)  # keys in many shares
         assert get() == want
 
 
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPREAD", 100)
+    base = " ".join(f"w{k}" for k in range(120))
+    texts = F.when(F.col("id") % 7 == 0, F.lit(base)).otherwise(F.concat(F.lit(base + " v"), F.col("id").cast("string")))
+    df = spark.range(20_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, texts).otherwise(F.concat_ws(" ", *[F.concat(F.lit(f"{k}u"), F.col("id").cast("string")) for k in range(9)])).alias("text"))
+    got = minhash.near_duplicates(df).groupBy("component_id").count().collect()
+    assert {r["count"] for r in got if r.component_id == 0} == {18_000} and len(got) == 2_001
+
+
 def test_near_duplicates_of_documents(docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, width=4).collect()}
@@ -109,7 +119,7 @@ def test_registers_hold_zeros_and_mantissa():
         assert got[bucket] >> 10 == zeros and got[bucket] & 1023 == int((bits[zeros + 1 :] + "0" * 10)[:10], 2)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     up = {x: x for e in edges for x in e}
@@ -122,6 +132,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
+    monkeypatch.setattr(common, "SPREAD", 4)
     got = {r.v: r.c for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -152,10 +163,12 @@ def passages(seed=0):
     return [*rows, (50, "a" * 500), (51, "a" * 300), (52, "b" * 49), (53, "b" * 49), (54, rows[3][1]), (55, None), (56, shared[4] * 3)]
 
 
-@pytest.mark.parametrize("heavy", [500, 3])
-def test_repeats(spark, heavy, monkeypatch):
+@pytest.mark.parametrize(("heavy", "kinds"), [(500, 500), (3, 500), (3, 3), (1, 1)])
+def test_repeats(spark, heavy, kinds, monkeypatch):
     monkeypatch.setattr(repeats, "HEAVY", heavy)
+    monkeypatch.setattr(repeats, "KINDS", kinds)
     monkeypatch.setattr(repeats, "CHUNK_ROWS", 40)
+    monkeypatch.setattr(common, "SPREAD", 500 if heavy == 500 else 2)
     rows = passages()
     got = {r.doc_id: tuple(r)[1:] for r in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = plain_removals(rows)
@@ -217,8 +230,13 @@ def vector_rows(n=900, wide=24, seed=7):
     return x.astype(np.float32)
 
 
-def test_neighbours(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [16_384, 5])
+def test_neighbours(spark, monkeypatch, chunk):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 64)
+    monkeypatch.setattr(neighbours, "CHUNK", chunk)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 40)
+    if chunk == 5:
+        monkeypatch.setattr(neighbours, "MAX_CELLS", 2)  # so cells are searched in parts
     x = vector_rows()
     df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<float>, id string")
     got = defaultdict(list)
@@ -234,6 +252,17 @@ def test_neighbours(spark, monkeypatch):
     assert hits / (20 * len(got)) >= 0.95 and got.keys() == set(range(0, 900, 20))
 
 
+def test_neighbours_of_repeated_rows(spark):
+    x = vector_rows(100)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    get = lambda r: sorted(tuple(t) for t in neighbours.nearest(spark.createDataFrame(r, "vec_id long, embedding array<float>").repartition(7), F.col("id") % 20 == 0).collect())
+    want = get(rows)
+    assert get([*rows, rows[0], rows[0], rows[33], rows[40]]) == want and len(want) == 100
+    # Of different vectors of one id, one counts, wherever the rows are.
+    other = [*rows, (0, x[50].tolist()), (7, x[60].tolist())]
+    assert get(other) == get(other[::-1]) and len(get(other)) == 100
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, []), (7, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (20, [2.0, 0.0]), (40, [float("inf"), 0.0]), (60, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -284,6 +313,14 @@ def test_shortages_go_to_siblings_first():
     assert got == {("a", "en", "x"): 10, ("a", "en", "y"): 50, ("b", "en", "z"): 540} and mixing.budgets({}, 5, {}) == []
 
 
+def test_what_weighs_nothing_gets_nothing_and_others_get_its_share():
+    supply = {("a", "en", "x"): 1000, ("a", "en", "y"): 100, ("b", "en", "z"): 1000}
+    got = {x.path: x.budget for x in mixing.budgets(supply, 600, {("a", "en", "x"): 0}, max_epochs=1)}
+    assert got == {("a", "en", "x"): 0, ("a", "en", "y"): 100, ("b", "en", "z"): 500}
+    got = {x.path: x.budget for x in mixing.budgets(supply, 600, {("a",): 0}, max_epochs=1)}
+    assert got == {("a", "en", "x"): 0, ("a", "en", "y"): 0, ("b", "en", "z"): 600}
+
+
 def test_mixture_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.mixed(docs, share=0.9)
@@ -352,6 +389,13 @@ def test_packing_of_documents(docs):
     assert len({r.bucket_len for r in rows if r.bucket is not None}) == 4
 
 
+def test_packing_of_equal_rows(spark):
+    rows = [(None, "a b c")] * 200 + [(7, "d e")] * 50 + [(7, "f g h")] * 3 + [(k, "one two three four") for k in range(10, 60)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), buckets=2, token_budget=12).collect()
+    places = [(r.bucket, r.batch, r.slot) for r in got]
+    assert len(got) == len(rows) and len(set(places)) == len(places) and Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(t.split())) for i, t in rows)
+
+
 def test_packing_of_odd_rows(odd, empty):
     rows = packing.packed(odd.where("doc_id is null or doc_id <> 7"), max_len=1000).collect()
     assert len([r for r in rows if r.doc_id == 5]) == 41 and len([r for r in rows if r.bucket is None]) == 4 and packing.packed(empty).count() == 0

@@ -1,6 +1,9 @@
 """The pipeline, stage by stage, against plain versions; and the registered queries."""
 
+import random
+
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 from stipule.llm import langid, pii
 from stipule.llm.common import written
 from stipule.llm.queries import QUERIES
@@ -57,13 +60,25 @@ def test_every_query_runs(spark):
 
 
 def test_texts_with_letters_but_no_language_go(spark, docs):
-    junk = spark.createDataFrame([(10**9, "z" * 300)], "doc_id long, text string")
+    rng = random.Random(1)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(900))
+    junk = spark.createDataFrame([(10**9, "z" * 300), (10**9 + 1, letters), (10**9 + 2, "aB" * 200)], "doc_id long, text string")
     more = docs.unionByName(junk, allowMissingColumns=True)
     kept = {r.doc_id for r in pipeline.language_id(spark, more, SF).select("doc_id").collect()}
     assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
 
 
-def test_least_score_of_few_languages(spark, empty):
-    one = spark.createDataFrame([(k, "some words of one language", "en") for k in range(9)], "doc_id long, text string, lang string")
-    assert langid.least_score(one, langid.fit(one)) == 0.0 == langid.least_score(empty, langid.fit(empty))
-    assert pipeline.language_id(spark, one, SF).count() == 9
+def test_unknown_languages_are_told_by_the_network(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, "und").otherwise(F.col("lang")))
+    net = langid.fit(some)
+    told = {r.doc_id: r.lang_pred for r in langid.predicted(some, net).collect()}
+    for r in pipeline.language_id(spark, some, SF).select("doc_id", "lang").collect():
+        assert r.doc_id % 3 == 2 or r.lang == told[r.doc_id]
+    real = {r.doc_id: r.lang for r in docs.collect() if told[r.doc_id] != langid.UNKNOWN}
+    assert sum(told[i] == lang for i, lang in real.items()) > 0.95 * len(real) > 0
+
+
+def test_one_language_is_enough(spark, empty):
+    one = spark.createDataFrame([(k, "some words of one language, and more of them here", "en") for k in range(40)] + [(99, "q" * 290, None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in pipeline.language_id(spark, one, SF).collect()) == list(range(40)) and pipeline.language_id(spark, empty, SF).count() == 0
