@@ -12,6 +12,8 @@ from stipule.functions import sql
 
 VIOLATION = "struct<path:array<string>,code:string,message:string>"
 NONE = f"CAST(array() AS array<{VIOLATION}>)"
+#: Branches whose code fits in one method; more are gathered by a filter, outside generated code.
+BRANCHES = 64
 
 
 def violation(path: Sequence[str], code: str, message: str) -> str:
@@ -37,9 +39,13 @@ class Check:
 
 
 def collected(checks: Sequence[Check]) -> str:
-    """All violations in order.  Each check is a plain branch, so the array stays in generated code."""
-    some = [f"CASE WHEN {c.fails} THEN {c.found} ELSE {NONE} END" for c in checks if c.fails != "FALSE"]
-    return f"CAST(concat({', '.join(some)}) AS array<{VIOLATION}>)" if some else NONE
+    """All violations in order.  Each check is a plain branch, so up to ``BRANCHES`` stay in generated code."""
+    some = [c for c in checks if c.fails != "FALSE"]
+    if len(some) > BRANCHES:
+        found = ", ".join(f"CASE WHEN {c.fails} THEN {c.found} END" for c in some)
+        return f"CAST(flatten(filter(array({found}), held -> held IS NOT NULL)) AS array<{VIOLATION}>)"
+    found = ", ".join(f"CASE WHEN {c.fails} THEN {c.found} ELSE {NONE} END" for c in some)
+    return f"CAST(concat({found}) AS array<{VIOLATION}>)" if some else NONE
 
 
 def any_fails(checks: Sequence[Check]) -> str:

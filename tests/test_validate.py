@@ -233,3 +233,15 @@ def test_names_that_look_like_the_compilers_own(spark):
     c = Contract.define("N", Field("_s0", Int, min=0), Field("e1", Int, min=0), Field("a'b.c", String, pattern=r"it's `\$x` \\"))
     row = validate(df, c).collect()[0]
     assert codes(row) == [("e1", "CONSTRAINT(min)")] and row["_s0"] == 1
+
+
+def test_many_checks_still_compile(spark):
+    c = Contract.define("W", *[Field(f"f{i}", Int, min=0, max=9) for i in range(70)])
+    df = spark.createDataFrame([(1,), (12,)], "n int").select(*[(F.col("n") if i % 2 else F.lit(-1)).alias(f"f{i}") for i in range(70)])
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        rows = validate(df, c).select("violations").collect()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+    assert sorted(len(r.violations) for r in rows) == [35, 70] and all([v.path[0] for v in r.violations] == sorted([v.path[0] for v in r.violations], key=lambda p: int(p[1:])) for r in rows)
